@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.grouping import attach, group_stats
 from fieldloom.operators.ordered import scan_in_order
+from fieldloom.session import cut_lineage
 
 CELL = ("lat", "lon")
 
@@ -57,12 +59,15 @@ def eof(df: DataFrame, n_modes: int = 5, value: str = "value", time: str = "time
     axis = scan_in_order(anomalies.select(time).distinct(), time, ordinal="_row")
     # One map per time; its length is the number of cells of the grid.
     maps = anomalies.groupBy(time).agg(F.array_sort(F.collect_list(F.struct(*CELL, "x"))).alias("_map"))
-    rows = maps.join(axis, time, "inner").select("_row", F.transform("_map", lambda c: c["x"]).alias("_x"))
-    matrix_rows = rows.rdd.map(lambda r: IndexedRow(r["_row"], Vectors.dense(r["_x"]))).persist(StorageLevel.MEMORY_AND_DISK)
-    svd = IndexedRowMatrix(matrix_rows).computeSVD(n_modes, computeU=True)
+    rows = maps.join(axis, time, "inner").select(
+        F.col("_row").alias("index"), array_to_vector(F.transform("_map", lambda c: c["x"])).alias("vector")
+    )
+    rows = MLUtils.convertVectorColumnsFromML(rows, "vector").persist(StorageLevel.MEMORY_AND_DISK)
+    svd = IndexedRowMatrix(rows).computeSVD(n_modes, computeU=True)
     singular = [float(s) for s in svd.s]
     scores = svd.U.rows.map(lambda r: (int(r.index), [float(u) for u in r.vector.toArray()]))
-    scores = spark.createDataFrame(scores, "_row long, _u array<double>")
+    scores = cut_lineage(spark.createDataFrame(scores, "_row long, _u array<double>"))  # n_modes numbers per time
+    rows.unpersist()
     unit = axis.join(scores, "_row", "inner").select(time, F.posexplode("_u").alias("_k", "_u"))
     unit = unit.select(time, (F.col("_k") + 1).alias("mode"), "_u")
 

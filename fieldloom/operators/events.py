@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.grouping import attach, group_stats
-from fieldloom.operators.ordered import month_bucket, scan_in_order
+from fieldloom.operators.ordered import BUCKET, month_bucket, scan_in_order
+from fieldloom.session import cut_lineage
 
 BLOCK = 4096
 
@@ -91,6 +92,10 @@ def topk_wave_rule(
     return ranked.where(F.col(f"wave{k_a}_amp") + F.col(f"wave{k_b}_amp") >= min_sum)
 
 
+def _micros(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp"))
+
+
 def gap_sessionise(
     df: DataFrame,
     gap_days: float = 2.0,
@@ -98,25 +103,60 @@ def gap_sessionise(
     by: Sequence[str] = (),
     bucket: Column | None = None,
     position: str | None = None,
+    previous: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Number the events: a gap of ``gap_days`` or more to the previous row starts a new one.
 
-    Adds ``time_delta`` (days), ``in_event`` and ``event_number`` from 0, and the
-    row's position under ``position`` if named.
+    Adds ``time_delta`` (days), ``in_event`` and ``event_number`` from 0; on
+    request the row's ``position`` in the series and ``previous`` values, a map of
+    new names to columns. Rows are compared inside time buckets (months); a table
+    with one row per bucket links the bucket edges and counts the events so far.
     """
-    bucket = month_bucket(time) if bucket is None else bucket
-    with_gap = scan_in_order(df, time, by=by, bucket=bucket, lags={"_previous": time}, ordinal=position)
+    by, previous = list(by), dict(previous or {})
+    limit = F.lit(gap_days * 86_400_000_000.0)
+    rows = df.withColumn(BUCKET, month_bucket(time) if bucket is None else bucket)
+    inside = Window.partitionBy(*by, BUCKET).orderBy(time)
+    kept = sorted({time, *previous.values()})
+    local = rows.withColumn("_pos", F.row_number().over(inside)).withColumns(
+        {f"_lag_{c}": F.lag(c).over(inside) for c in kept}
+    )
+    local = local.withColumn("_gap", _micros(F.col(time)) - _micros(F.col(f"_lag_{time}")))
+    local = local.withColumn("_begins", F.coalesce((F.col("_gap") >= limit).cast("long"), F.lit(0)))
+    edges = local.groupBy(*by, BUCKET).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("_begins").alias("_inner"),
+        F.min(time).alias("_first"),
+        F.max_by(F.struct(*kept), F.col(time)).alias("_last"),
+    )
+    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy(BUCKET)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("_prev", F.lag("_last").over(across))
+    edge_gap = _micros(F.col("_first")) - _micros(F.col("_prev").getField(time))
+    edges = edges.withColumn("_opens", F.coalesce((edge_gap >= limit).cast("long"), F.lit(1)))
+    edges = edges.select(
+        *by,
+        BUCKET,
+        "_prev",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"),
+        (F.coalesce(F.sum(F.col("_inner") + F.col("_opens")).over(before), F.lit(0)) + F.col("_opens")).alias("_events"),
+    )
+    counted = local.withColumn("_so_far", F.sum("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = counted.join(edges, [*by, BUCKET], "inner")
 
-    def micros(c: str) -> Column:
-        return F.unix_micros(F.col(c).cast("timestamp"))
+    def earlier(c: str) -> Column:
+        return F.when(F.col("_pos") == 1, F.col("_prev").getField(c)).otherwise(F.col(f"_lag_{c}"))
 
-    delta = (micros(time) - micros("_previous")) / F.lit(86_400_000_000.0)
-    flagged = with_gap.withColumn("time_delta", delta).withColumn(
-        "in_event", F.coalesce(F.col("time_delta") < gap_days, F.lit(False))
+    delta = _micros(F.col(time)) - _micros(earlier(time))
+    extra = [earlier(c).alias(name) for name, c in previous.items()]
+    if position:
+        extra.append((F.col("_n_before") + F.col("_pos") - 1).cast("long").alias(position))
+    return joined.select(
+        *df.columns,
+        (delta / 86_400_000_000.0).alias("time_delta"),
+        F.coalesce(delta < limit, F.lit(False)).alias("in_event"),
+        (F.col("_events") + F.col("_so_far") - 1).cast("long").alias("event_number"),
+        *extra,
     )
-    starts = flagged.drop("_previous").withColumn("_start", F.when(F.col("in_event"), 0).otherwise(1))
-    numbered = scan_in_order(starts, time, by=by, bucket=bucket, totals={"_number": "_start"})
-    return numbered.withColumn("event_number", (F.col("_number") - 1).cast("long")).drop("_start", "_number")
 
 
 def phase_unwrap(phase: Column, jump: Column, freq: int = 6) -> Column:
@@ -126,34 +166,32 @@ def phase_unwrap(phase: Column, jump: Column, freq: int = 6) -> Column:
 
 
 def with_event_statistics(
-    df: DataFrame, freq: int = 6, time: str = "time", by: Sequence[str] = (), position: str = "_position", event: str = "event_number"
+    df: DataFrame, freq: int = 6, by: Sequence[str] = (), position: str = "_position", before: str = "_phase_before"
 ) -> DataFrame:
     """Duration, unwrapped phase, gradient and first/last flags of every event.
 
+    Takes the rows of ``gap_sessionise`` with their position and previous phase.
     One aggregation per event gives the duration, the largest phase step and the
     slopes of both the raw and the raised phase; the step then picks the slope.
     """
     period = 360.0 / freq
     phase = f"wave{freq}_phase"
-    keys = [*by, event]
-    stepped = scan_in_order(df, time, by=by, lags={"_phase_before": phase, "_event_before": event})
-    same = F.col("_event_before") == F.col(event)
-    step = F.when(same, F.abs(F.col(phase) - F.col("_phase_before")))
+    keys = [*by, "event_number"]
+    step = F.when(F.col("in_event"), F.abs(F.col(phase) - F.col(before)))
     raised = F.when(F.col(phase) < period / 2, F.col(phase) + period).otherwise(F.col(phase))
-    stepped = stepped.withColumn("_step", step).withColumn("_raised", raised)
     stats = group_stats(
-        stepped,
+        df,
         keys,
         F.count(F.lit(1)).alias("event_duration"),
-        F.max("_step").alias("_jump"),
+        F.max(step).alias("_jump"),
         F.min(position).alias("_first"),
         F.regr_slope(phase, position).alias("_slope"),
-        F.regr_slope("_raised", position).alias("_slope_raised"),
+        F.regr_slope(raised, position).alias("_slope_raised"),
     )
-    joined = attach(stepped, stats, keys)
+    joined = attach(df, stats, keys)
     wraps = F.col("_jump") > period * 5 / 6
     return joined.select(
-        *df.columns,
+        *[c for c in df.columns if c not in (position, before)],
         "event_duration",
         phase_unwrap(F.col(phase), F.col("_jump"), freq).alias("event_phase"),
         F.when(wraps, F.col("_slope_raised")).otherwise(F.col("_slope")).alias("event_gradient"),
@@ -173,12 +211,19 @@ def event_table(
     time: str = "time",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Selected days with their event columns; amplitude columns hold ranks."""
+    """Selected days with their event columns; amplitude columns hold ranks.
+
+    The selection (one row per day) is checkpointed, because numbering and
+    statistics each read it more than once and it ends a long pipeline.
+    """
     chosen = topk_wave_rule(fourier, k_a, k_b, min_sum, ks)
     if max_sign_change is not None:
         chosen = chosen.where(F.col("sign_count") <= max_sign_change)
-    numbered = gap_sessionise(chosen, time=time, by=by, position="_position")
-    return with_event_statistics(numbered, freq, time, by).drop("_position")
+    chosen = cut_lineage(chosen)
+    numbered = gap_sessionise(
+        chosen, time=time, by=by, position="_position", previous={"_phase_before": f"wave{freq}_phase"}
+    )
+    return with_event_statistics(numbered, freq, by)
 
 
 def event_dates(

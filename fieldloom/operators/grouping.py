@@ -1,9 +1,10 @@
 """Joining group statistics back to rows without overloading one task.
 
 A window over ``(key)`` would buffer a whole group in one task. Here the
-statistic is an ordinary aggregation (combined before the shuffle) and is then
-joined to the rows. Groups with very many rows get their rows spread over
-several salts; all other groups keep one.
+statistic is an ordinary aggregation (combined before the shuffle) that is then
+joined to the rows. The few groups with very many rows get their statistics from
+a broadcast while their rows are spread over salts; all others meet theirs in a
+shuffled join.
 """
 
 from __future__ import annotations
@@ -34,22 +35,26 @@ def attach(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``stats`` (one row per key, with ``GROUP_ROWS``) to ``df``.
+    """Join ``stats`` (one row per key, with ``GROUP_ROWS``) to ``df``, ``how`` left or inner.
 
+    The broadcast side is bounded: it holds groups of more than ``hot_rows`` rows.
     The salt of a row mixes its content with its partition, so identical copies
     spread as well and a retried task repeats the same salts.
     """
     keys = list(keys)
-    hot = stats.where(F.col(GROUP_ROWS) > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    spread = F.pmod(
-        F.xxhash64(*[F.col(c) for c in df.columns if c not in keys] or [F.lit(0)]) + F.spark_partition_id(),
-        F.lit(salts),
-    ).cast("int")
-    rows = (
-        df.join(hot, keys, "left")
-        .withColumn(SALT, F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-        .drop("_hot")
+    names = [c for c in stats.columns if c not in keys and c != GROUP_ROWS]
+    hot = stats.where(F.col(GROUP_ROWS) > hot_rows).select(
+        *keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]
+    )
+    cold = stats.where(F.col(GROUP_ROWS) <= hot_rows).select(
+        *keys, F.lit(0).alias(SALT), F.lit(True).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names]
+    )
+    content = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys] or [F.lit(0)])
+    spread = (F.pmod(content + F.spark_partition_id(), F.lit(salts)) + 1).cast("int")
+    rows = df.join(F.broadcast(hot), keys, "left").withColumn(SALT, F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+    joined = rows.join(cold, [*keys, SALT], "left")
+    if how == "inner":
+        joined = joined.where(F.col("_hot") | F.col("_cold"))
+    return joined.select(
+        *df.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in names]
     )
-    copies = F.when(F.col(GROUP_ROWS) > hot_rows, F.lit(salts - 1)).otherwise(F.lit(0))
-    spread_stats = stats.withColumn(SALT, F.explode(F.sequence(F.lit(0), copies))).drop(GROUP_ROWS)
-    return rows.join(spread_stats, [*keys, SALT], how).drop(SALT)

@@ -46,7 +46,7 @@ def phase_histogram(
     counted = rows.where(F.col(phase).isNotNull()).groupBy("season", *extra, index.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
     # One zero per bin of every group that occurs completes the axis before the sums.
     groups = counted.select("season", *extra).distinct()
-    zeros = groups.select("season", *extra, F.explode(F.sequence(F.lit(0), F.lit(nbins - 1))).cast("long").alias("_b"))
+    zeros = groups.select("season", *extra, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nbins - 1).cast("long"))).alias("_b"))
     filled = counted.unionByName(zeros.withColumn("n", F.lit(0).cast("long")))
     totals = _annual_too(filled, ["season", *extra, "_b"])
     return totals.select("season", *extra, (F.col("_b") * res).alias("bin"), "n")

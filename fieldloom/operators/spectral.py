@@ -153,37 +153,47 @@ def wave_coefficients(
     value: str = "value",
     lon: str = "lon",
     start: float = 0.0,
+    env_band: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """``(by..., waveK_amp, waveK_phase...)``.
+    """``(by..., waveK_amp, waveK_phase..., [env_max])``.
 
     The amplitude is the largest value of the single-wavenumber signal on the
     grid; the phase is the longitude of its first strict local maximum on the
     circle, or the first longitude if there is none. Neighbouring values follow
-    from the coefficients, so no row looks at another row.
+    from the coefficients, so no row looks at another row. ``env_band`` adds the
+    largest envelope of a band from the same coefficients.
     """
     ks = list(ks)
+    band = _band(n_lon, *env_band) if env_band else []
     step = 360.0 / n_lon
-    wide = _wide_coefficients(df, ks, n_lon, by, value, lon, start)
+    wide = _wide_coefficients(df, sorted({*ks, *band}), n_lon, by, value, lon, start)
     cells = wide.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n_lon - 1))))
+    here = F.lit(float(start)) + F.col("_j") * F.lit(step)
 
-    def signal(k: int, index: Column) -> Column:
-        return _synthesis(F.lit(float(start)) + index * F.lit(step), [k], n_lon, None, start)[0]
-
-    here, ahead, back = F.col("_j"), (F.col("_j") + 1) % n_lon, (F.col("_j") + n_lon - 1) % n_lon
-    cells = cells.select(
-        *by,
-        "_j",
-        *[signal(k, here).alias(f"_s{k}") for k in ks],
-        *[signal(k, ahead).alias(f"_a{k}") for k in ks],
-        *[signal(k, back).alias(f"_b{k}") for k in ks],
-    )
+    # s(j) and s(j+1) + s(j-1), s(j+1) - s(j-1) of one wavenumber are the same sine
+    # and cosine sums with fixed factors, so each longitude needs one angle per k.
+    columns = []
+    for k in ks:
+        plus, minus = _weights(n_lon, k, None)
+        scale, angle, turn = (plus + minus) / n_lon, _angle(k, here, start), math.radians(k * step)
+        c, s = F.cos(angle), F.sin(angle)
+        signal = F.lit(scale) * (F.col(f"re_{k}") * c - F.col(f"im_{k}") * s)
+        quarter = F.lit(scale) * (F.col(f"re_{k}") * s + F.col(f"im_{k}") * c)
+        columns += [signal.alias(f"_s{k}"), (F.lit(math.sin(turn)) * quarter).alias(f"_q{k}")]
+        columns.append((F.lit(math.cos(turn)) * signal).alias(f"_c{k}"))
+    if band:
+        real, imag = _synthesis(here, band, n_lon, "negative", start)
+        columns.append((2.0 * F.sqrt(real * real + imag * imag)).alias("_env"))
+    cells = cells.select(*by, "_j", *columns)
     aggs = []
     for k in ks:
-        s = F.col(f"_s{k}")
-        crest = F.min(F.when((s > F.col(f"_a{k}")) & (s > F.col(f"_b{k}")), F.col("_j")))
+        s, q, c = F.col(f"_s{k}"), F.col(f"_q{k}"), F.col(f"_c{k}")
+        crest = F.min(F.when((s > c - q) & (s > c + q), F.col("_j")))
         aggs.append(F.max(s).alias(f"wave{k}_amp"))
         phase = F.lit(float(start)) + F.coalesce(crest, F.lit(0)) * F.lit(step)
         aggs.append(F.when(F.max(s).isNotNull(), phase).alias(f"wave{k}_phase"))
+    if band:
+        aggs.append(F.max("_env").alias("env_max"))
     return cells.groupBy(*by).agg(*aggs)
 
 
@@ -211,9 +221,7 @@ def fourier_information(
     **options,
 ) -> DataFrame:
     """Amplitudes and phases with the optional envelope maximum and sign-change count, one row per circle."""
-    out = wave_coefficients(df, ks, n_lon, by, **options)
-    if env_band:
-        out = out.join(envelope_max(df, *env_band, n_lon, by=by, **options), list(by), "inner")
+    out = wave_coefficients(df, ks, n_lon, by, env_band=env_band, **options)
     if sign_change:
         out = out.join(sign_change_count(df, by, options.get("value", "value"), options.get("lon", "lon")), list(by), "inner")
     return out

@@ -21,6 +21,7 @@ from fieldloom.operators.stats import (
     quadrant_percent,
     yday_anomaly,
 )
+from fieldloom.session import cut_lineage
 
 
 def smoothed_anomaly(field: DataFrame, window: int = 30, key: str = "dayofyear", axis: str = "rows") -> DataFrame:
@@ -65,10 +66,11 @@ def wave_event_statistics(
     """Event table of waves in the rotated meridional wind.
 
     The latitude mean comes before the anomaly and the running mean: all three
-    are linear, so the order does not matter and far fewer rows are shuffled.
+    are linear, so the order does not matter and far fewer rows are shuffled. It is
+    checkpointed (days times longitudes), as the anomaly reads it twice.
     """
     vrot = rotated_wind(winds, targets, lat_axis, lon_axis).withColumnRenamed("vrot", "value")
-    band = meridional_mean(vrot.where(F.col("lat").between(*lat_band)))
+    band = cut_lineage(meridional_mean(vrot.where(F.col("lat").between(*lat_band))))
     smooth = running_mean(yday_anomaly(band, key, by=["lon"]), window, by=["lon"])
     padded = zero_outside_lon(smooth, *lon_band)
     fourier = fourier_information(padded, list(range(1, 11)), lon_axis[2], env_band=env_band, sign_change=True)
