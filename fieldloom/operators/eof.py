@@ -59,10 +59,15 @@ def eof(df: DataFrame, n_modes: int = 5, value: str = "value", time: str = "time
     axis = scan_in_order(anomalies.select(time).distinct(), time, ordinal="_row")
     # One map per time; its length is the number of cells of the grid.
     maps = anomalies.groupBy(time).agg(F.array_sort(F.collect_list(F.struct(*CELL, "x"))).alias("_map"))
-    rows = maps.join(axis, time, "inner").select(
-        F.col("_row").alias("index"), array_to_vector(F.transform("_map", lambda c: c["x"])).alias("vector")
+    square = F.aggregate("_map", F.lit(0.0), lambda total, c: total + c["x"] * c["x"])
+    table = maps.join(axis, time, "inner").select(
+        F.col("_row").alias("index"),
+        array_to_vector(F.transform("_map", lambda c: c["x"])).alias("vector"),
+        square.alias("_square"),
     )
-    rows = MLUtils.convertVectorColumnsFromML(rows, "vector").persist(StorageLevel.MEMORY_AND_DISK)
+    # The decomposition reads the maps many times, so they are written once.
+    table = cut_lineage(MLUtils.convertVectorColumnsFromML(table, "vector"))
+    rows = table.select("index", "vector").persist(StorageLevel.MEMORY_AND_DISK)
     svd = IndexedRowMatrix(rows).computeSVD(n_modes, computeU=True)
     singular = [float(s) for s in svd.s]
     scores = svd.U.rows.map(lambda r: (int(r.index), [float(u) for u in r.vector.toArray()]))
@@ -91,7 +96,7 @@ def eof(df: DataFrame, n_modes: int = 5, value: str = "value", time: str = "time
         .join(F.broadcast(values), "mode", "inner")  # one row per mode
         .select("mode", time, (F.col("_u") * F.col("_s") * F.col("_sign")).alias("pc"))
     )
-    spread = anomalies.agg(F.sum(F.col("x") * F.col("x")).alias("_total"), F.count_distinct(time).alias("_nt"))
+    spread = table.agg(F.sum("_square").alias("_total"), F.count(F.lit(1)).alias("_nt"))
     scaled = values.join(F.broadcast(spread), F.lit(True), "inner")  # one row
     eigenvalue = F.col("_s") * F.col("_s") / (F.col("_nt") - 1)
     total = F.col("_total") / (F.col("_nt") - 1)

@@ -133,6 +133,10 @@ def inverse_filtered(df: DataFrame, low, high, n_lon: int, **options) -> DataFra
     return band_filter(df, low, high, n_lon, None, **options).withColumnRenamed("real", out).drop("imag")
 
 
+# The real signal of a band is also known by this name.
+hilbert = inverse_filtered
+
+
 def wave_envelope(df: DataFrame, low, high, n_lon: int, **options) -> DataFrame:
     """Twice the modulus of the positive half of the band: ``(by..., lon, value)``."""
     out = options.get("value", "value")

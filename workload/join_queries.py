@@ -83,13 +83,13 @@ def _(spark, d):
 
 @query("interval_join", "time:t id:i value:4", """
     SELECT e.time, e.value, i.event_id AS id FROM stream e JOIN (
-        SELECT event_id, ts AS s, ts + to_hours(CAST(event_id % 30 AS INTEGER)) AS f FROM events WHERE event_type = 'error') i
+        SELECT event_id, ts AS s, ts + to_minutes(CAST(event_id % 30 AS INTEGER)) AS f FROM events WHERE event_type = 'error') i
     ON e.time BETWEEN i.s AND i.f WHERE e.event_type = 'signup'""")
 def _(spark, d):
     spans = views.table(spark, d, "events").where("event_type = 'error'").select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("start_ts"),
-        (F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 30).cast("int"))).alias("end_ts"),
+        (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 30).cast("int"))).alias("end_ts"),
     )
     signups = views.stream(spark, d).where("event_type = 'signup'")
     return align.interval_join(signups, spans)

@@ -15,14 +15,14 @@ VIEWS = {
     # Dense monthly grid, 17 latitudes by 36 longitudes, with a travelling wave added.
     "field": """
         SELECT m.time, CAST(-80 + 5 * a.i AS DOUBLE) AS lat, CAST(10 * b.j AS DOUBLE) AS lon,
-               coalesce(c.price, 0) + 10 * cos(radians(30.0 * b.j) - 0.5 * ((year(m.time) - 1994) * 12 + month(m.time)))
+               coalesce(c.price, 20 + sin(7.0 * a.i + 3.0 * b.j * b.j)) + 10 * cos(radians(30.0 * b.j) - 0.5 * ((year(m.time) - 1994) * 12 + month(m.time)))
                  * cos(radians(CAST(-80 + 5 * a.i AS DOUBLE))) AS value
         FROM months m CROSS JOIN range(17) a(i) CROSS JOIN range(36) b(j)
         LEFT JOIN cell_month c ON c.time = m.time AND c.li = a.i AND c.lj = b.j""",
     # A second variable on the same grid.
     "field_b": """
         SELECT m.time, CAST(-80 + 5 * a.i AS DOUBLE) AS lat, CAST(10 * b.j AS DOUBLE) AS lon,
-               coalesce(c.quantity, 0) + 5 * sin(radians(20.0 * b.j) + 0.3 * ((year(m.time) - 1994) * 12 + month(m.time))) AS value
+               coalesce(c.quantity, 20 + sin(7.0 * a.i + 3.0 * b.j * b.j)) + 5 * sin(radians(20.0 * b.j) + 0.3 * ((year(m.time) - 1994) * 12 + month(m.time))) AS value
         FROM months m CROSS JOIN range(17) a(i) CROSS JOIN range(36) b(j)
         LEFT JOIN cell_month c ON c.time = m.time AND c.li = a.i AND c.lj = b.j""",
     # Tropical observations for the sea-surface indices: latitudes -10..10.
@@ -32,7 +32,7 @@ VIEWS = {
         FROM lineitem""",
     # Month amplitudes of a global wind with a known streamfunction and potential.
     "wind_month": """
-        SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, avg(l_quantity) AS amp_a,
+        SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS time, sqrt(avg(l_quantity)) AS amp_a,
                ln(avg(l_extendedprice)) AS amp_b, ln(1 + count(*)) AS amp_u
         FROM lineitem GROUP BY ALL""",
     "wind_cells": """

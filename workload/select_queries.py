@@ -100,9 +100,10 @@ def _(spark, d):
     return select.threshold_dates(views.series(spark, d), "90pct")
 
 
-@query("threshold_dates_raw", "time:d", "SELECT time FROM series WHERE value <= 30.5")
+@query("threshold_dates_raw", "time:d", "SELECT time FROM series WHERE value * value / n <= 240")
 def _(spark, d):
-    return select.threshold_dates(views.series(spark, d), 30.5, "less")
+    mean_price = views.series(spark, d).withColumn("value", F.col("value") * F.col("value") / F.col("n"))
+    return select.threshold_dates(mean_price, 240, "less")
 
 
 @query("percentile_by_axis", "lat lon percentile:6", "SELECT lat, lon, quantile_cont(value, 0.9) AS percentile FROM obs GROUP BY ALL")

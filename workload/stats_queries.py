@@ -121,7 +121,8 @@ def _(spark, d):
 
 def _conditions(spark, d):
     days = views.series(spark, d)
-    level = F.when(F.col("value") > 32, "high").when(F.col("value") < 25, "low")
+    price = F.col("value") * F.col("value") / F.col("n")
+    level = F.when(price > 265, "high").when(price < 235, "low")
     size = F.when(F.col("n") % 2 == 0, "even").otherwise("odd")
     date = F.to_date("time").alias("date")
     return days.select(date, level.alias("label")).where("label IS NOT NULL"), days.select(date, size.alias("label"))
@@ -130,8 +131,8 @@ def _conditions(spark, d):
 @query("joint_condition_composite", "label:s season:s lat lon value:6 n:i", """
     SELECT label, season, lat, lon, avg(value) AS value, count(*) AS n FROM (
         SELECT o.lat, o.lon, o.value, label, unnest(['annual', s.season]) AS season FROM obs o JOIN seasons s ON month(o.time) = s.mon
-        JOIN (SELECT time AS day, (CASE WHEN value > 32 THEN 'high' ELSE 'low' END) || '+' || (CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END) AS label
-              FROM series WHERE value > 32 OR value < 25) c ON c.day = o.time)
+        JOIN (SELECT time AS day, (CASE WHEN value * value / n > 265 THEN 'high' ELSE 'low' END) || '+' || (CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END) AS label
+              FROM series WHERE value * value / n > 265 OR value * value / n < 235) c ON c.day = o.time)
     GROUP BY ALL""")
 def _(spark, d):
     return composite.joint_condition_composite(views.obs(spark, d), *_conditions(spark, d))

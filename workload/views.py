@@ -59,18 +59,23 @@ def _month_index() -> Column:
     return (F.year("time") - 1994) * 12 + F.month("time")
 
 
+def _fill() -> Column:
+    """Value of a cell without line items."""
+    return 20 + F.sin(7.0 * F.col("li") + 3.0 * F.col("lj") * F.col("lj"))
+
+
 def field(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = _dense(_cell_month(spark, sf_dir, "l_extendedprice"))
     lat, lon = _axis(-80, 5, F.col("li")), _axis(0, 10, F.col("lj"))
     wave = 10 * F.cos(F.radians(lon * 3) - 0.5 * _month_index()) * F.cos(F.radians(lat))
-    return grid.select("time", lat.alias("lat"), lon.alias("lon"), (F.coalesce(F.sqrt("mean") / 10, F.lit(0.0)) + wave).alias("value"))
+    return grid.select("time", lat.alias("lat"), lon.alias("lon"), (F.coalesce(F.sqrt("mean") / 10, _fill()) + wave).alias("value"))
 
 
 def field_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = _dense(_cell_month(spark, sf_dir, "l_quantity"))
     lat, lon = _axis(-80, 5, F.col("li")), _axis(0, 10, F.col("lj"))
     wave = 5 * F.sin(F.radians(lon * 2) + 0.3 * _month_index())
-    return grid.select("time", lat.alias("lat"), lon.alias("lon"), (F.coalesce(F.sqrt("mean"), F.lit(0.0)) + wave).alias("value"))
+    return grid.select("time", lat.alias("lat"), lon.alias("lon"), (F.coalesce(F.sqrt("mean"), _fill()) + wave).alias("value"))
 
 
 WIND_LATS, WIND_LONS = 19, 36
@@ -79,7 +84,7 @@ WIND_LATS, WIND_LONS = 19, 36
 def wind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global wind of a known streamfunction, potential and solid rotation, with monthly amplitudes."""
     months = table(spark, sf_dir, "lineitem").groupBy(_month("l_shipdate").alias("time")).agg(
-        F.avg("l_quantity").alias("a"), F.log(F.avg("l_extendedprice")).alias("b"), F.log(1 + F.count(F.lit(1))).alias("m")
+        F.sqrt(F.avg("l_quantity")).alias("a"), F.log(F.avg("l_extendedprice")).alias("b"), F.log(1 + F.count(F.lit(1))).alias("m")
     )
     cells = (
         months.withColumn("li", F.explode(F.sequence(F.lit(0), F.lit(WIND_LATS - 1))))
