@@ -12,7 +12,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.grouping import attach, group_stats
+from fieldloom.operators.grouping import GROUP_ROWS, attach, group_stats
 from fieldloom.operators.ordered import scan_in_order
 from fieldloom.session import cut_lineage
 
@@ -36,11 +36,11 @@ class EofResult:
 
 def _weighted_anomalies(df: DataFrame, value: str, time: str) -> DataFrame:
     """Time anomalies times the square root of the cosine of latitude; cells with a missing time are left out."""
-    times = df.agg(F.count_distinct(time).alias("_nt"))
-    means = group_stats(df, CELL, F.avg(value).alias("_m"), F.count(value).alias("_n"))
-    whole = means.join(F.broadcast(times), F.col("_n") == F.col("_nt"), "inner").drop("_n", "_nt")  # one row
+    stats = group_stats(df, CELL, F.avg(value).alias("_m"), F.count(value).alias("_n"))
+    longest = stats.agg(F.max(F.struct("_n", "_m", GROUP_ROWS)).getField("_n").alias("_nt"))
     weight = F.sqrt(F.greatest(F.cos(F.radians(F.col("lat"))), F.lit(0.0)))
-    return attach(df, whole, CELL, how="inner").select(
+    joined = attach(df, stats, CELL, how="inner").join(F.broadcast(longest), F.col("_n") == F.col("_nt"))  # one row
+    return joined.select(
         time, *CELL, F.col(value).alias("value"), ((F.col(value) - F.col("_m")) * weight).alias("x")
     )
 
@@ -56,23 +56,21 @@ def eof(df: DataFrame, n_modes: int = 5, value: str = "value", time: str = "time
     """
     spark = df.sparkSession
     anomalies = _weighted_anomalies(df, value, time)
-    axis = scan_in_order(anomalies.select(time).distinct(), time, ordinal="_row")
     # One map per time; its length is the number of cells of the grid.
-    maps = anomalies.groupBy(time).agg(F.array_sort(F.collect_list(F.struct(*CELL, "x"))).alias("_map"))
-    square = F.aggregate("_map", F.lit(0.0), lambda total, c: total + c["x"] * c["x"])
-    table = maps.join(axis, time, "inner").select(
-        F.col("_row").alias("index"),
-        array_to_vector(F.transform("_map", lambda c: c["x"])).alias("vector"),
-        square.alias("_square"),
+    maps = anomalies.groupBy(time).agg(F.array_sort(F.collect_list(F.struct(*CELL, "value", "x"))).alias("_map"))
+    table = maps.select(
+        time, "_map", array_to_vector(F.transform("_map", lambda c: c["x"])).alias("vector")
     )
-    # The decomposition reads the maps many times, so they are written once.
+    # The decomposition and all results read the maps, so they are written once.
     table = cut_lineage(MLUtils.convertVectorColumnsFromML(table, "vector"))
-    rows = table.select("index", "vector").persist(StorageLevel.MEMORY_AND_DISK)
+    axis = scan_in_order(table.select(time), time, ordinal="_row")
+    rows = table.join(axis, time, "inner").select(F.col("_row").alias("index"), "vector").persist(StorageLevel.MEMORY_AND_DISK)
     svd = IndexedRowMatrix(rows).computeSVD(n_modes, computeU=True)
     singular = [float(s) for s in svd.s]
     scores = svd.U.rows.map(lambda r: (int(r.index), [float(u) for u in r.vector.toArray()]))
     scores = cut_lineage(spark.createDataFrame(scores, "_row long, _u array<double>"))  # n_modes numbers per time
     rows.unpersist()
+    anomalies = table.select(time, F.inline("_map"))
     unit = axis.join(scores, "_row", "inner").select(time, F.posexplode("_u").alias("_k", "_u"))
     unit = unit.select(time, (F.col("_k") + 1).alias("mode"), "_u")
 
@@ -96,7 +94,8 @@ def eof(df: DataFrame, n_modes: int = 5, value: str = "value", time: str = "time
         .join(F.broadcast(values), "mode", "inner")  # one row per mode
         .select("mode", time, (F.col("_u") * F.col("_s") * F.col("_sign")).alias("pc"))
     )
-    spread = table.agg(F.sum("_square").alias("_total"), F.count(F.lit(1)).alias("_nt"))
+    square = F.aggregate("_map", F.lit(0.0), lambda total, c: total + c["x"] * c["x"])
+    spread = table.agg(F.sum(square).alias("_total"), F.count(F.lit(1)).alias("_nt"))
     scaled = values.join(F.broadcast(spread), F.lit(True), "inner")  # one row
     eigenvalue = F.col("_s") * F.col("_s") / (F.col("_nt") - 1)
     total = F.col("_total") / (F.col("_nt") - 1)

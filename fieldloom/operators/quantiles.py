@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators.grouping import GROUP_ROWS, attach
+from fieldloom.operators.grouping import attach, group_stats
 
 BINS = 4096
 
@@ -17,45 +17,37 @@ def exact_quantile(
 ) -> DataFrame:
     """Linear-interpolated quantile of ``value`` per group, exact at any group size.
 
-    Values are counted first, so copies cost one row. Counts per equal-width bin
-    locate the two order statistics; only distinct values inside a bin are sorted
-    together. NULLs are skipped.
+    Three light passes: extent and size of each group, counts per equal-width bin,
+    and the distinct values of just the bins that hold the wanted ranks. Each
+    shuffle carries partial counts, never the rows themselves. NULL and NaN are
+    skipped.
     """
     by = list(by)
-    keyed = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"))
     if not by:
-        keyed, by = keyed.withColumn("_all", F.lit(0)), ["_all"]
-    counts = keyed.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    extent = counts.groupBy(*by).agg(
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        F.sum("_n").alias("_total"),
-        F.count(F.lit(1)).alias(GROUP_ROWS),
-    )
+        rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
+    extent = group_stats(rows, by, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_total"))
     width = F.col("_hi") - F.col("_lo")
-    binned = attach(counts, extent, by, how="inner").withColumn(
-        "_bin",
-        F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0),
-    )
+    inner_bin = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))
+    binned = attach(rows, extent, by, how="inner").withColumn("_bin", F.when(width > 0, inner_bin).otherwise(F.lit(0)))
+
+    rank = (F.col("_total") - 1) * F.lit(float(q))
     across = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per_bin = binned.groupBy(*by, "_bin", "_total").agg(F.sum("_n").alias("_in_bin"))
-    rank = (F.col("_total") - 1) * F.lit(q)
+    per_bin = binned.groupBy(*by, "_bin", "_total").agg(F.count(F.lit(1)).alias("_in_bin"))
     needed = (
         per_bin.withColumn("_before", F.coalesce(F.sum("_in_bin").over(across), F.lit(0)))
         .where((F.col("_before") <= F.ceil(rank)) & (F.col("_before") + F.col("_in_bin") > F.floor(rank)))
         .select(*by, "_bin", "_before")
     )
-    inside = Window.partitionBy(*by, "_bin").orderBy("_v")
-    ranked = (
-        binned.join(needed, [*by, "_bin"], "inner")
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_rank", rank)
+    counts = binned.join(needed, [*by, "_bin"], "inner").groupBy(*by, "_bin", "_before", "_total", "_v").agg(
+        F.count(F.lit(1)).alias("_n")
     )
+    inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_upto", F.col("_before") + F.sum("_n").over(inside)).withColumn("_rank", rank)
     low = F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("_v")))
     high = F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_v")))
     part = F.max("_rank") - F.floor(F.max("_rank"))
-    result = ranked.groupBy(*by).agg((low + (high - low) * part).alias(out))
-    return result.drop("_all")
+    return ranked.groupBy(*by).agg((low + (high - low) * part).alias(out)).drop("_all")
 
 
 def percentile_by_axis(

@@ -13,6 +13,7 @@ from fieldloom.functions.scalars import SEASON_MONTHS, adjust_lon, clamp, magnit
 from fieldloom.functions.scalars import unpack_scale_offset as unpack
 from fieldloom.operators.ordered import scan_in_order
 from fieldloom.operators.quantiles import exact_quantile
+from fieldloom.session import cut_lineage
 
 
 def region_box(df: DataFrame, region, lat: str = "lat", lon: str = "lon", wrap: bool = False) -> DataFrame:
@@ -117,7 +118,11 @@ def threshold_value(df: DataFrame, threshold: str | float, value: str = "value")
 def threshold_dates(
     df: DataFrame, threshold: str | float, direction: str = "greater", value: str = "value", time: str = "time"
 ) -> DataFrame:
-    """Times whose value is at or beyond the threshold."""
+    """Times whose value is at or beyond the threshold.
+
+    A percentile reads the series several times, so time and value are
+    checkpointed first; what made the series then runs once.
+    """
     if direction not in ("greater", "less"):
         raise ValueError("direction is 'greater' or 'less'")
     text = str(threshold)
@@ -125,9 +130,10 @@ def threshold_dates(
         limit = F.lit(float(text))
         keep = F.col(value) >= limit if direction == "greater" else F.col(value) <= limit
         return df.where(keep).select(time)
-    limit = threshold_value(df, threshold, value)
+    series = cut_lineage(df.select(time, value))
+    limit = threshold_value(series, threshold, value)
     keep = F.col(value) >= F.col("threshold") if direction == "greater" else F.col(value) <= F.col("threshold")
-    return df.join(F.broadcast(limit), keep, "inner").select(time)  # one-row limit
+    return series.join(F.broadcast(limit), keep, "inner").select(time)  # one-row limit
 
 
 def phase_bounds(low: float, high: float, freq: int) -> tuple[float, float]:
