@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.grouping import GROUP_ROWS, attach, group_stats
+from fieldloom.operators.grouping import GROUP_ROWS, attach, broadcast_if_small, group_stats
 from fieldloom.operators.ordered import scan_in_order
 
 
 def _dates(dates: DataFrame, date: str) -> DataFrame:
-    return dates.select(F.to_date(F.col(date)).alias("_day")).distinct()
+    """The distinct days of a date list, at most 366 rows per year of record, so always fit to broadcast."""
+    return F.broadcast(dates.select(F.to_date(F.col(date)).alias("_day")).distinct())
 
 
 def date_semi_join(df: DataFrame, dates: DataFrame, time: str = "time", date: str = "date") -> DataFrame:
@@ -41,11 +42,13 @@ def climatology_join(
     subtract: bool = True,
     divide: bool = False,
     out: str | None = None,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Subtract the mean and/or divide by the population deviation of each row's climatology group.
 
     ``base`` limits the rows that form the statistics; a key absent from the base
-    period gives NULL.
+    period gives NULL. ``few_groups`` says that ``by`` names few groups, such as
+    regions.
     """
     keyed = df.withColumn("_key", key)
     stats = group_stats(
@@ -54,7 +57,8 @@ def climatology_join(
         F.avg(F.when(base, F.col(value)) if base is not None else value).alias("_mean"),
         F.stddev_pop(F.when(base, F.col(value)) if base is not None else value).alias("_std"),
     )
-    joined = attach(keyed, stats, [*by, "_key"])
+    # Calendar keys number at most 366; with no further keys, or few named ones, so do the groups.
+    joined = attach(keyed, stats, [*by, "_key"], few_keys=not by or few_groups)
     result = F.col(value)
     if subtract:
         result = result - F.col("_mean")
@@ -132,7 +136,8 @@ def interval_join(
 def event_number_join(df: DataFrame, events: DataFrame, time: str = "time", event: str = "event_number") -> DataFrame:
     """Event number of each row's day, NULL outside events."""
     days = events.groupBy(F.to_date(F.col(time)).alias("_day")).agg(F.min(event).alias(event))
-    return df.join(days, F.to_date(F.col(time)) == F.col("_day"), "left").drop("_day")
+    at_day = F.to_date(F.col(time)) == F.col("_day")
+    return df.join(F.broadcast(days), at_day, "left").drop("_day")  # one row per calendar day
 
 
 def broadcast_dims(df: DataFrame, lower: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -260,7 +265,8 @@ def sparse_weight_regrid(
     """Weighted sum of source cells for every target cell.
 
     A target whose source cells are not all present is NULL. The weights have one
-    grid's size; Spark broadcasts them when they measure small.
+    grid's size and are broadcast if they count few enough, so the field itself is
+    not shuffled by cell.
     """
     lat0, dlat, _ = lat_axis
     lon0, dlon, nlon = lon_axis
@@ -268,7 +274,7 @@ def sparse_weight_regrid(
         "src_lon_idx", F.pmod(F.round((F.col("lon") - lon0) / dlon).cast("int"), F.lit(nlon))
     )
     parts = indexed.select(*others, "src_lat_idx", "src_lon_idx", F.col(value).alias("_v")).join(
-        weights, ["src_lat_idx", "src_lon_idx"], "inner"
+        broadcast_if_small(weights), ["src_lat_idx", "src_lon_idx"], "inner"
     )
     summed = parts.groupBy(*others, "lat", "lon").agg(
         F.sum(F.col("weight") * F.col("_v")).alias(value),

@@ -60,7 +60,8 @@ def labelled_composite(
     are gathered per day first, so the field is joined once and expanded locally.
     """
     days = labelled_dates.groupBy(F.to_date(F.col(date)).alias("_day")).agg(F.collect_set(label).alias("_labels"))
-    rows = df.join(days, F.to_date(F.col(time)) == F.col("_day"), "inner").withColumn(label, F.explode("_labels"))
+    at_day = F.to_date(F.col(time)) == F.col("_day")
+    rows = df.join(F.broadcast(days), at_day, "inner").withColumn(label, F.explode("_labels"))  # one row per calendar day
     sums = rows.groupBy(label, season_of(time).alias("season"), *by).agg(
         *[F.sum(v).alias(f"_sum_{v}") for v in values], *[F.count(v).alias(f"_n_{v}") for v in values]
     )

@@ -17,11 +17,22 @@ from pyspark.sql import functions as F
 GROUP_ROWS = "_group_rows"
 SALT = "_salt"
 
+# Tables over a grid or an axis are broadcast up to this many rows.
+BROADCAST_ROWS = 2_000_000
+
 # A group counts as hot above this many rows. N rows hold at most N / HOT_ROWS hot groups.
 HOT_ROWS = 5_000_000
 SALTS = 64
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a table that counts at most ``most`` rows; otherwise the join is left to shuffle.
+
+    Meant for tables that are cheap to make and as large as one grid.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     """Aggregate by ``keys`` and keep the row count that ``attach`` needs."""
     return df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias(GROUP_ROWS))
@@ -34,14 +45,19 @@ def attach(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    few_keys: bool = False,
 ) -> DataFrame:
     """Join ``stats`` (one row per key, with ``GROUP_ROWS``) to ``df``, ``how`` left or inner.
 
     The broadcast side is bounded: it holds groups of more than ``hot_rows`` rows.
     The salt of a row mixes its content with its partition, so identical copies
-    spread as well and a retried task repeats the same salts.
+    spread as well and a retried task repeats the same salts. ``few_keys`` says
+    that the keys have a small fixed range, such as days of the year, so all
+    statistics are broadcast and the rows stay where they are.
     """
     keys = list(keys)
+    if few_keys:
+        return df.join(F.broadcast(stats.drop(GROUP_ROWS)), keys, how)
     names = [c for c in stats.columns if c not in keys and c != GROUP_ROWS]
     hot = stats.where(F.col(GROUP_ROWS) > hot_rows).select(
         *keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]

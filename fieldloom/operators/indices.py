@@ -50,7 +50,7 @@ def index_nino_new(
         raise ValueError("kind is CT or WP")
     series = region_means(df, ["nino3", "nino4"], time, value)
     anomaly = climatology_join(
-        series, climatology_key(time, timescale), by=["region"], value=value, base=_base_rows(base, time)
+        series, climatology_key(time, timescale), by=["region"], value=value, base=_base_rows(base, time), few_groups=True
     )
     pair = anomaly.groupBy(time).agg(
         F.max(F.when(F.col("region") == "nino3", F.col(value))).alias("n3"),
@@ -67,7 +67,7 @@ def index_sam(df: DataFrame, timescale: str = "monthly", value: str = "value", t
     circles = nearest_label(df, "lat", [-40.0, -65.0])
     rows = df.select(time, "lat", value).join(F.broadcast(circles), "lat", "inner")  # two rows
     means = rows.groupBy(time, "target").agg(F.avg(value).alias(value))
-    norm = climatology_join(means, climatology_key(time, timescale), by=["target"], value=value, divide=True)
+    norm = climatology_join(means, climatology_key(time, timescale), by=["target"], value=value, divide=True, few_groups=True)
     north = F.max(F.when(F.col("target") == -40.0, F.col(value)))
     south = F.max(F.when(F.col("target") == -65.0, F.col(value)))
     return norm.groupBy(time).agg((north - south).alias("sam"))
@@ -76,7 +76,7 @@ def index_sam(df: DataFrame, timescale: str = "monthly", value: str = "value", t
 def index_zw3(df: DataFrame, timescale: str = "monthly", value: str = "value", time: str = "time") -> DataFrame:
     """Mean of the three standardised box means; NULL unless all three exist."""
     series = region_means(df, ["zw31", "zw32", "zw33"], time, value)
-    norm = climatology_join(series, climatology_key(time, timescale), by=["region"], value=value, divide=True)
+    norm = climatology_join(series, climatology_key(time, timescale), by=["region"], value=value, divide=True, few_groups=True)
     mean = F.when(F.count(value) == 3, F.sum(value) / 3.0)
     return norm.groupBy(time).agg(mean.alias("zw3"))
 

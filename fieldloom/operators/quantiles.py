@@ -24,12 +24,13 @@ def exact_quantile(
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, F.col(value).alias("_v"))
-    if not by:
+    single = not by
+    if single:
         rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
     extent = group_stats(rows, by, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_total"))
     width = F.col("_hi") - F.col("_lo")
     inner_bin = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(bins - 1))
-    binned = attach(rows, extent, by, how="inner").withColumn("_bin", F.when(width > 0, inner_bin).otherwise(F.lit(0)))
+    binned = attach(rows, extent, by, how="inner", few_keys=single).withColumn("_bin", F.when(width > 0, inner_bin).otherwise(F.lit(0)))
 
     rank = (F.col("_total") - 1) * F.lit(float(q))
     across = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

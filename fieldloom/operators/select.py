@@ -35,12 +35,20 @@ def point_or_slice(df: DataFrame, **choices) -> DataFrame:
 
 
 def time_range(df: DataFrame, start: str | None = None, end: str | None = None, time: str = "time") -> DataFrame:
-    """Inclusive date range; the end date counts as a whole day. Either end may be open."""
+    """Inclusive date range; the end date counts as a whole day. Either end may be open.
+
+    A stored field has its partition column ``year``; bounds on it let the scan
+    skip other years.
+    """
+    stored = "year" in df.columns
     if start is not None:
-        df = df.where(F.col(time) >= F.lit(f"{dt.date.fromisoformat(start)}").cast("timestamp_ntz"))
+        first = dt.date.fromisoformat(start)
+        df = df.where(F.col(time) >= F.lit(str(first)).cast("timestamp_ntz"))
+        df = df.where(F.col("year") >= first.year) if stored else df
     if end is not None:
-        day_after = dt.date.fromisoformat(end) + dt.timedelta(days=1)
-        df = df.where(F.col(time) < F.lit(f"{day_after}").cast("timestamp_ntz"))
+        last = dt.date.fromisoformat(end)
+        df = df.where(F.col(time) < F.lit(str(last + dt.timedelta(days=1))).cast("timestamp_ntz"))
+        df = df.where(F.col("year") <= last.year) if stored else df
     return df
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.regions import region_column
+from fieldloom.functions.regions import in_box, region_column
 from fieldloom.functions.scalars import climatology_key, season_of
 from fieldloom.operators.align import climatology_join
 from fieldloom.operators.grouping import attach, group_stats
@@ -26,7 +28,8 @@ def area_mean(df: DataFrame, by: Sequence[str] = ("time",), value: str = "value"
 
 def region_means(df: DataFrame, regions: Sequence[str], time: str = "time", value: str = "value", wrap: bool = False) -> DataFrame:
     """Means of several boxes, which may overlap, in one pass: ``(region, time, value)``."""
-    labelled = df.withColumn("region", F.explode(region_column(list(regions), wrap=wrap)))
+    anywhere = reduce(or_, [in_box(r, wrap=wrap) for r in regions])
+    labelled = df.where(anywhere).withColumn("region", F.explode(region_column(list(regions), wrap=wrap)))
     return labelled.groupBy("region", time).agg(F.avg(value).alias(value))
 
 
@@ -210,7 +213,7 @@ def label_by_dates(df: DataFrame, time: str = "time", all_label: str | None = "a
         part = dates.select(F.to_date(F.col("date")).alias("_day")).distinct().withColumn("label", F.lit(name))
         lists = part if lists is None else lists.unionByName(part)
     labels = lists.groupBy("_day").agg(F.collect_list("label").alias("_labels"))  # one entry per list
-    joined = df.withColumn("_day", F.to_date(F.col(time))).join(labels, "_day", "left")
+    joined = df.withColumn("_day", F.to_date(F.col(time))).join(F.broadcast(labels), "_day", "left")  # one row per calendar day
     found = F.coalesce("_labels", F.array().cast("array<string>"))
     if all_label:
         found = F.concat(F.array(F.lit(all_label)), found)

@@ -15,6 +15,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
+        spark__sql__maxMetadataStringLength="5000",
         spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")
