@@ -137,8 +137,8 @@ def threshold_dates(
     if not text.endswith("pct"):
         limit = F.lit(float(text))
         keep = F.col(value) >= limit if direction == "greater" else F.col(value) <= limit
-        return df.where(keep).select(time)
-    series = cut_lineage(df.select(time, value))
+        return df.where(keep & ~F.isnan(value)).select(time)
+    series = cut_lineage(df.where(~F.isnan(value)).select(time, value))
     limit = threshold_value(series, threshold, value)
     keep = F.col(value) >= F.col("threshold") if direction == "greater" else F.col(value) <= F.col("threshold")
     return series.join(F.broadcast(limit), keep, "inner").select(time)  # one-row limit

@@ -156,3 +156,14 @@ def test_find_duplicates_hot_item(spark):
     got = stats.find_duplicates(df, "item", "pos").toPandas()
     assert len(got) == 42 and set(got.item) == {"a", "b"}
     assert set(got[got.item == "a"].occurrences) == {40}
+
+
+def test_threshold_ignores_missing_values(spark):
+    pdf = daily(200, drop=0)
+    pdf.loc[::10, "value"] = np.nan
+    got = select.threshold_dates(to_spark(spark, pdf), "90pct").toPandas()
+    assert sorted(got.time) == list(pdf[pdf.value >= np.nanpercentile(pdf.value, 90)].time)
+    low = select.threshold_dates(to_spark(spark, pdf), 0.5, "less").toPandas()
+    assert len(low) == (pdf.value <= 0.5).sum()
+    high = select.threshold_dates(to_spark(spark, pdf), 0.5).toPandas()
+    assert len(high) == (pdf.value >= 0.5).sum()
