@@ -58,7 +58,7 @@ VIEWS = {
         WHERE value >= (SELECT quantile_cont(value, 0.75) FROM series)""",
     "urgent_days": """
         SELECT CAST(o_orderdate AS DATE) AS date FROM orders
-        WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_custkey % 3 = 0""",
+        WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_totalprice > 350000""",
     # Daily wave description built from order counts and keys.
     "wave_days": """
         SELECT CAST(o_orderdate AS TIMESTAMP) AS time, count(*) AS cnt, sum(o_orderkey) AS keys

@@ -115,7 +115,7 @@ def series_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 def urgent_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Date list with repeats: one entry per matching order."""
     orders = table(spark, sf_dir, "orders")
-    picked = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0)
+    picked = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 350000)
     return orders.where(picked).select(F.to_date("o_orderdate").alias("date"))
 
 
