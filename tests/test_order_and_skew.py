@@ -167,3 +167,12 @@ def test_threshold_ignores_missing_values(spark):
     assert len(low) == (pdf.value <= 0.5).sum()
     high = select.threshold_dates(to_spark(spark, pdf), 0.5).toPandas()
     assert len(high) == (pdf.value >= 0.5).sum()
+
+
+def test_running_mean_of_cells_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(events, "BLOCK", 64)
+    parts = [daily(300, seed=s).assign(lat=float(s)) for s in (1, 2)]
+    df = to_spark(spark, pd.concat(parts))
+    whole = events.running_mean(df, 6, by=["lat"]).toPandas().sort_values(["lat", "time"])
+    blocks = events.running_mean(df, 6, by=["lat"], blocked=True).toPandas().sort_values(["lat", "time"])
+    assert list(whole.time) == list(blocks.time) and np.allclose(whole.value, blocks.value)
