@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, mixing
-from fieldloom.llm.common import words, written
+from fieldloom.llm import decontaminate, language, mixing, quality, toxicity
+from fieldloom.llm.common import fold, words, written
 from fieldloom.llm.sql import SQL
 
 
@@ -16,6 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 3) != 1)
+    scored = toxicity.score(docs.select("doc_id", "lang", "text"), net)
+    marked = toxicity.flagged(scored, net)
+    return marked.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, learn=fold("doc_id", 4) != 2)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("tokens"))
     sizes = tokens.select("doc_id", "source", F.size("tokens").alias("n"), mixing.lexical_quality(F.col("tokens")).alias("quality"))
@@ -30,6 +52,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op6_language": op6_language,
     "op8_mix_sources": op8_mix_sources,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
