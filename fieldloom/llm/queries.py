@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, language, mixing, quality, toxicity
+from fieldloom.llm import decontaminate, fingerprints, language, mixing, packing, quality, toxicity
 from fieldloom.llm.common import fold, words, written
 from fieldloom.llm.sql import SQL
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 3) != 1)
@@ -45,6 +49,19 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.written_out(F.col("entries")).alias("fingerprint"),
+        fingerprints.written_out(F.col("edited_entries")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("entries"), F.col("edited_entries")).alias("near_edited"),
+        fingerprints.likeness(F.col("entries"), F.col("next_entries")).alias("near_next"),
+    )
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -52,10 +69,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pack_tokens": op1_pack_tokens,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op6_language": op6_language,
     "op8_mix_sources": op8_mix_sources,
+    "op9_fingerprints": op9_fingerprints,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
