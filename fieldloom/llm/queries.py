@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, fingerprints, language, mixing, packing, quality, toxicity
+from fieldloom.llm import decontaminate, fingerprints, language, mixing, packing, quality, substrings, toxicity
 from fieldloom.llm.common import fold, words, written
 from fieldloom.llm.sql import SQL
 
@@ -42,6 +42,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("tokens"))
     sizes = tokens.select("doc_id", "source", F.size("tokens").alias("n"), mixing.lexical_quality(F.col("tokens")).alias("quality"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op6_language": op6_language,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_fingerprints": op9_fingerprints,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
