@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, fingerprints, language, mixing, packing, quality, substrings, toxicity
+from fieldloom.llm import decontaminate, fingerprints, language, mixing, nearcopies, packing, quality, substrings, toxicity
 from fieldloom.llm.common import fold, words, written
 from fieldloom.llm.sql import SQL
 
@@ -20,6 +20,10 @@ def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 3) != 1)
@@ -75,6 +79,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_tokens": op1_pack_tokens,
+    "op2_near_copies": op2_near_copies,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op6_language": op6_language,
