@@ -1,13 +1,27 @@
-"""A training corpus from raw documents: language, near copies, benchmark passages, mixture, packed token ids."""
+"""A training corpus from raw documents: language, near copies, benchmark passages, mixture, packed token ids.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each result to the shared folder and reads it back.
+Null texts, repeated rows, empty tables and additional columns pass through as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import decontaminate, mixing
+from fieldloom.llm import decontaminate, language, mixing, nearcopies, packing
 from fieldloom.llm.common import written
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not identified with enough confidence go; the model learns from the labelled rows of ``docs``."""
+    return language.keep_identified(docs, language.fit(docs))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity of 0.8 or more) stays."""
+    return nearcopies.keep_one(docs, size=5, percent=80)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -18,9 +32,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated_documents(mixing.mix_documents(docs))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in rows of fixed length, with the documents and offsets of their segments."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("language ID", identified),
+    ("MinHash near-dedup", without_near_copies),
     ("benchmark decontamination", without_benchmark),
-    ("source mix", mixed),
+    ("mixing sources", mixed),
+    ("token-ID output", packed),
 ]
 
 #: Language identification is a trained model, which SQL cannot express.
