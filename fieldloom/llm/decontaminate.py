@@ -53,17 +53,23 @@ def _starts(tokens: Column, length: int) -> Column:
     return F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length)).otherwise(F.array().cast("array<int>"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _hits_by_set(docs: DataFrame, windows: list) -> DataFrame:
     """Adds dec_hits, each hit confirmed on its words, by sets that are literals of the plan."""
-    found = [
-        _confirmed(length, sorted({w.dec_hash for w in windows if w.dec_len == length}), sorted({w.dec_gram for w in windows if w.dec_len == length}))
+    sets = [
+        (length, sorted({w.dec_hash for w in windows if w.dec_len == length}), sorted({w.dec_gram for w in windows if w.dec_len == length}))
         for length in sorted({w.dec_len for w in windows})
     ]
-    return docs.withColumn("dec_hits", F.concat(*found) if found else F.array().cast(_NO_HITS))
+    if not sets:
+        return docs.withColumn("dec_hits", F.array().cast(_NO_HITS))
+    return docs.withColumn("dec_hits", _let(F.col("dec_words"), lambda tokens: F.concat(*[_confirmed(tokens, *s) for s in sets])))
 
 
-def _confirmed(length: int, hashes: list[int], grams: list[str]) -> Column:
-    tokens = F.col("dec_words")
+def _confirmed(tokens: Column, length: int, hashes: list[int], grams: list[str]) -> Column:
     near = F.filter(_starts(tokens, length), lambda i: F.xxhash64(_run(tokens, i, length)).isin(hashes))
     runs = F.transform(near, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(_run(tokens, i, length), " ").alias("gram")))
     return F.filter(runs, lambda h: h["gram"].isin(grams)).cast(_NO_HITS)
@@ -137,7 +143,6 @@ def cut_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     found, _, _ = find_hits(docs, benchmark, text=text, **options)
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"[{CASED_GAP}]*[^{CASED_GAP}]+"), F.lit(0))
     tail = F.regexp_extract(F.col(text), f"[{CASED_GAP}]*$", 0)
-    rows = found.withColumn("dec_at", hit_positions(F.col("dec_hits"))).withColumn("dec_pieces", pieces)
-    kept = F.filter("dec_pieces", lambda _, i: ~F.array_contains(F.col("dec_at"), i))
-    clean = F.when(F.size("dec_at") > 0, F.concat(F.array_join(kept, ""), tail)).otherwise(F.col(text))
-    return rows.withColumn(text, clean).select(columns)
+    kept = _let(hit_positions(F.col("dec_hits")), lambda at: F.filter(pieces, lambda _, i: ~F.array_contains(at, i)))
+    clean = F.when(F.size("dec_hits") > 0, F.concat(F.array_join(kept, ""), tail)).otherwise(F.col(text))
+    return found.withColumn(text, clean).select(columns)

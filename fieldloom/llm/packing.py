@@ -67,7 +67,7 @@ class Encoder:
     The pattern never joins what stands before a single space with what follows it, so texts are encoded piece by piece and frequent pieces only once.
     """
 
-    def __init__(self, path: str, room: int = 150_000):
+    def __init__(self, path: str, room: int = 400_000):
         import tiktoken
 
         with open(path, "rb") as lines:

@@ -1,20 +1,21 @@
 """Averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy.
 
-A document is the mean of the vectors of its features: each word, and each character n-gram of ``<word>``, hashed into one table of vectors. Features of a
-word are found once and kept in a bounded store, so a text costs one lookup a word. Training sees a sample of labelled rows, bounded by a parameter of the
+A document is the mean of the vectors of its features: each word, and each character n-gram of ``<word>``, hashed into one table of vectors. The sum of a
+word's vectors is kept in a bounded store, so a text costs one lookup a word. Training sees a sample of labelled rows, bounded by a parameter of the
 callers; scoring runs on every whole text inside Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 
+from fieldloom.llm.common import mix64
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -26,25 +27,32 @@ class Shape:
     dim: int = 16
     grams: tuple[int, ...] = (1, 2, 3)
     lower: bool = True
-    longest: int = 64  # characters of a word from which n-grams are cut piece by piece
 
 
 class Features:
-    """Feature ids of words, kept for up to ``room`` words."""
-
-    def __init__(self, shape: Shape, room: int = 200_000):
-        self.shape, self.room, self.known = shape, room, {}
-
-    def of(self, word: str) -> np.ndarray:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= self.room:
-                self.known.clear()
-            s, marked = self.shape, f"<{word}>"
-            pieces = [marked, *(marked[i : i + n] for n in s.grams for i in range(len(marked) - n + 1))]
-            ids = np.fromiter((zlib.crc32(p.encode("utf-8", "surrogatepass")) % s.buckets for p in pieces), np.int32, len(pieces))
-            self.known[word] = ids
-        return ids
+    """Feature ids of words, found for many words at once."""
+
+    def __init__(self, shape: Shape):
+        self.shape = shape
+
+    def of(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word numbers, feature ids), once for the whole words and once for each length of n-grams; word numbers ascend."""
+        marked = [f"<{w}>" for w in words]
+        code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+        ends = np.cumsum(lengths)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(code)) - np.repeat(ends - lengths, lengths)
+        left = np.repeat(ends, lengths) - np.arange(len(code))
+        whole = mix64(np.add.reduceat(mix64(code + (place.astype(np.uint64) << np.uint64(21))), ends - lengths)) if len(words) else code
+        buckets = np.uint64(self.shape.buckets)
+        yield np.arange(len(words)), (whole % buckets).astype(np.int64)
+        for n in self.shape.grams:
+            at = np.flatnonzero(left >= n)
+            h = np.full(len(at), n, np.uint64)
+            for j in range(n):
+                h = mix64(h ^ code[at + j])
+            yield owner[at], (h % buckets).astype(np.int64)
 
     def split(self, text: str | None) -> list[str]:
         if not text:
@@ -73,32 +81,36 @@ class Model:
 class Scorer:
     """Mean feature vectors of whole texts; a word's summed vector and feature count are kept for up to ``room`` words."""
 
-    def __init__(self, model: Model, room: int = 100_000):
-        self.model, self.features, self.room = model, Features(model.shape, room=1), room
+    def __init__(self, model: Model, room: int = 200_000):
+        self.model, self.features, self.room = model, Features(model.shape), room
         self.sums = np.zeros((room, model.shape.dim + 1), np.float32)
         self.at: dict[str, int] = {}
 
-    def _index(self, word: str) -> int:
-        i = self.at.get(word)
-        if i is None:
-            i = self.at[word] = len(self.at)
-            ids = self.features.of(word)
-            self.sums[i, :-1] = self.model.table[ids].sum(axis=0)
-            self.sums[i, -1] = len(ids)
-        return i
-
-    def vectors(self, texts: list[str | None], piece: int = 20_000) -> np.ndarray:
+    def _learn(self, words: list[str]) -> None:
+        first, dim = len(self.at), self.model.shape.dim
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+        made = self.sums[first : first + len(words)]
+        made[:] = 0
+        for owner, ids in self.features.of(words):
+            if len(ids):
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                made[owner[starts], :dim] += np.add.reduceat(self.model.table[ids], starts, axis=0)
+                made[owner[starts], dim] += np.diff(np.append(starts, len(ids)))
+
+    def vectors(self, texts: list[str | None], piece: int = 50_000) -> np.ndarray:
         dim = self.model.shape.dim
         out = np.zeros((len(texts), dim), np.float64)
         for k, text in enumerate(texts):
             tokens, total = self.features.split(text), np.zeros(dim + 1)
             for start in range(0, len(tokens), piece):
-                part = tokens[start : start + piece]
-                if len(self.at) + len(part) > self.room:
-                    self.at.clear()
-                get = self.at.get
-                idx = [i if (i := get(w)) is not None else self._index(w) for w in part]
-                total += self.sums[idx].sum(axis=0, dtype=np.float64)
+                part, at = tokens[start : start + piece], self.at
+                new = [w for w in set(part) if w not in at]
+                if len(at) + len(new) > self.room:
+                    at.clear()
+                    new = list(set(part))
+                if new:
+                    self._learn(new)
+                total += self.sums[[at[w] for w in part]].sum(axis=0, dtype=np.float64)
             if total[-1]:
                 out[k] = total[:-1] / total[-1]
         return out
@@ -116,7 +128,7 @@ def train(texts: list[str], targets: np.ndarray, labels: list, shape: Shape, epo
         tokens = features.split(text)
         if len(tokens) > 2_000:
             tokens = [tokens[i] for i in random.integers(0, len(tokens), 2_000)]
-        docs.append(np.concatenate([features.of(w) for w in tokens]) if tokens else np.zeros(0, np.int32))
+        docs.append(np.concatenate([ids for _, ids in features.of(tokens)]) if tokens else np.zeros(0, np.int64))
     n = len(labels)
     table = random.uniform(-1, 1, (shape.buckets, shape.dim)) / shape.dim
     weights, bias = np.zeros((shape.dim, n)), np.zeros(n)
