@@ -7,8 +7,9 @@ hash the number of leading zeros and 10 bits of mantissa. Equal sets are one cla
    blocks are compared, so no group is gathered whole. Pairs must pass a bound on the set sizes and an estimate, freed of the expected chance collisions,
    of no less than five standard deviations under the threshold.
 2. A first round verifies, for every member of a bucket, its likeliest earlier partner; that is a forest, not all pairs. The links found are joined to
-   components. A second round looks again only at buckets that had further pairs, and verifies those of them that lie in different components: after it
-   every pair that passed has been verified or lies within one component.
+   components. A second round looks again only at buckets that had further pairs and members of different components; the full sets come along, and what
+   lies in different components is verified there and then. After it every pair that passed has been verified or lies within one component, and no round
+   has sent more rows than its buckets have members.
 3. Verification counts the common members of the full sets.
 
 With 32 bands a pair at the threshold of 0.8 shares none with probability (1 - 0.8**4)**32 = 5e-8; closer pairs even less often.
@@ -124,10 +125,40 @@ def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 FOUND = "kind int, key bigint, a bigint, b bigint"
 
 
-def compare(threshold: float, forest: bool):
-    """For ``mapInArrow`` over rows sorted by (key, p, q). Kinds of rows given: 0 a pair to verify, 1 a key with further pairs, 2 a node of some pair."""
+def compare(threshold: float, percent: int, forest: bool):
+    """For ``mapInArrow`` over rows sorted by (key, p, q). Kinds of rows given: 0 a pair, 1 a key with further pairs, 2 a node of some pair.
 
-    def group(key: int, p: int, q: int, node, comp, n, blk, regs) -> Iterator[tuple]:
+    In the round of forests pairs are to be verified; in the other they are links, verified on the full sets that come with the rows, and no more of them
+    than join the members. A pair that shares several bands counts in the first of these buckets only.
+    """
+    salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+    def first_shared(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+        """Whether the bucket of ``key`` belongs to the first band that the rows of registers share."""
+        x, y = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
+        band = ((x == y) & (x != 0)).argmax(axis=1)
+        return mix64(x[np.arange(len(x)), band] ^ salt[band]).astype(np.int64) == key
+
+    def links(lo, hi, score, node, members) -> Iterator[tuple[int, int]]:
+        head = {int(v): int(v) for v in node}
+        sets = {int(v): np.frombuffer(m, np.uint64) for v, m in zip(node, members, strict=True)}
+
+        def find(v: int) -> int:
+            while head[v] != v:
+                head[v] = head[head[v]]
+                v = head[v]
+            return v
+
+        for k in np.argsort(-score, kind="stable").tolist():
+            x, y = int(lo[k]), int(hi[k])
+            if find(x) == find(y):
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                head[find(y)] = find(x)
+                yield x, y
+
+    def group(key: int, p: int, q: int, node, comp, n, blk, regs, members) -> Iterator[tuple]:
         if p == q:
             i, j = np.triu_indices(len(node), 1)
         else:
@@ -135,26 +166,28 @@ def compare(threshold: float, forest: bool):
             i, j = np.repeat(x, len(y)), np.tile(y, len(x))
         open_ = comp[i] != comp[j]
         i, j = i[open_], j[open_]
-        kept_i, kept_j, score = [], [], []
+        kept_i, kept_j, score, mine = [], [], [], []
         for start in range(0, len(i), PAIRS):
             s = slice(start, start + PAIRS)
             ok, estimate = likely(regs[i[s]], regs[j[s]], n[i[s]], n[j[s]], threshold)
             kept_i.append(i[s][ok])
             kept_j.append(j[s][ok])
             score.append(estimate[ok])
+            mine.append(first_shared(regs[kept_i[-1]], regs[kept_j[-1]], key))
         if not kept_i:
             return
-        a, b, score = np.concatenate(kept_i), np.concatenate(kept_j), np.concatenate(score)
+        a, b, score, mine = (np.concatenate(x) for x in (kept_i, kept_j, score, mine))
         lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-        if forest and len(lo):
+        if not forest:
+            yield from ((0, key, x, y) for x, y in links(lo[mine], hi[mine], score[mine], node, members))
+        elif len(lo):
             order = np.lexsort((lo, -score, hi))
             best = order[np.flatnonzero(np.diff(hi[order], prepend=hi[order][0] - 1))]
             if len(best) < len(lo):
                 yield (1, key, 0, 0)
-            for v in np.unique(np.concatenate([lo, hi])).tolist():
+            for v in np.unique(np.concatenate([lo[mine], hi[mine]])).tolist():
                 yield (2, 0, v, 0)
-            lo, hi = lo[best], hi[best]
-        yield from ((0, key, x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True))
+            yield from ((0, key, x, y) for x, y in zip(lo[best].tolist(), hi[best].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -167,11 +200,12 @@ def compare(threshold: float, forest: bool):
                 cuts = cuts[:-1]
             node, comp, n, blk = (table.column(c).to_numpy() for c in ("node", "comp", "n", "blk"))
             regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            members = [None] * len(keys) if forest else table.column("members").to_pylist()
             rows = []
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if y - x > 1:
                     s = slice(x, y)
-                    rows.extend(group(*(int(v) for v in keys[x]), node[s], comp[s], n[s], blk[s], regs[s]))
+                    rows.extend(group(*(int(v) for v in keys[x]), node[s], comp[s], n[s], blk[s], regs[s], members[s]))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             return pa.RecordBatch.from_arrays(made, ["kind", "key", "a", "b"]), table.slice(cuts[-1])
@@ -179,7 +213,7 @@ def compare(threshold: float, forest: bool):
         for batch in batches:
             new = pa.Table.from_batches([batch])
             rest = new if rest is None else pa.concat_tables([rest, new])
-            if len(rest) >= 4 * BLOCK:
+            if len(rest) >= 2 * BLOCK:
                 made, rest = flush(rest, False)
                 yield made
         if rest is not None and len(rest):
@@ -188,14 +222,16 @@ def compare(threshold: float, forest: bool):
     return run
 
 
-def candidate_pairs(rows: DataFrame, reps: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Compare the members (key, node, comp, m) of buckets of m members, in pairs of blocks of bounded size."""
+def candidate_pairs(rows: DataFrame, reps: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Compare the members (key, node, comp, m) of buckets of m members, in pairs of blocks of bounded size. ``reps`` has n, regs and, but for the round of
+    forests, members."""
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "node", "comp", "blk")
     rows = rows.join(reps, "node").repartition(parts_for(rows.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return rows.select("key", "p", "q", "node", "comp", F.col("n"), "blk", "regs").mapInArrow(compare(threshold, forest), FOUND)
+    columns = ["key", "p", "q", "node", "comp", "n", "blk", "regs", *(() if forest else ("members",))]
+    return rows.select(*columns).mapInArrow(compare(percent / 100, percent, forest), FOUND)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +270,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked if ``percent`` or more of their shingles are common."""
-    threshold = percent / 100
     sketch = written(sketches(docs, size, doc_id, text), "sketches")
     same = ["n", "h1", "h2"]
     classes = sketch.where("n > 0").groupBy(same).agg(F.min("doc").alias("rep"))
@@ -245,7 +280,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     keys = reps.select("node", "regs").mapInArrow(bands, "key bigint, node bigint")
     many = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     rows = written(keys.join(many, "key"), "buckets")
-    found = written(candidate_pairs(rows.withColumn("comp", F.col("node")), reps, threshold, True), "found")
+    found = written(candidate_pairs(rows.withColumn("comp", F.col("node")), reps, percent, True), "found")
 
     nodes = found.where("kind = 2").select(F.col("a").alias("node")).distinct()
     texts = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("node"), F.col(text).cast("binary").alias("text"))
@@ -257,8 +292,9 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     more = found.where("kind = 1").select("key").distinct()
     open_ = rows.join(more, "key", "left_semi").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    again = candidate_pairs(open_.join(mixed, "key", "left_semi"), reps, threshold, False).where("kind = 0").select("a", "b").distinct()
-    rest = written(verified(again.join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+    full = reps.join(sets, "node")
+    rest = candidate_pairs(open_.join(mixed, "key", "left_semi"), full, percent, False).where("kind = 0").select("a", "b").distinct()
+    rest = written(rest, "links")
     if not rest.isEmpty():
         labels = components(links.union(rest))
 
