@@ -36,6 +36,7 @@ class EofResult:
 
 def _weighted_anomalies(df: DataFrame, value: str, time: str) -> DataFrame:
     """Time anomalies times the square root of the cosine of latitude; cells with a missing time are left out."""
+    df = df.groupBy(time, *CELL).agg(F.avg(value).alias(value))  # a repeated row must not change the number of times
     stats = group_stats(df, CELL, F.avg(value).alias("_m"), F.count(value).alias("_n"))
     longest = stats.agg(F.max(F.struct("_n", "_m", GROUP_ROWS)).getField("_n").alias("_nt"))
     weight = F.sqrt(F.greatest(F.cos(F.radians(F.col("lat"))), F.lit(0.0)))

@@ -35,6 +35,12 @@ def _blocked_mean(positioned: DataFrame, window: int, by: Sequence[str], value:
     )
 
 
+def _one_a_step(df: DataFrame, step, by: Sequence[str], value: str, time: str) -> DataFrame:
+    """The mean and first time of what falls on one calendar step, so that a repeated day does not break the windows around it."""
+    stepped = df.withColumn("_i", step.cast("long"))
+    return stepped.groupBy(*by, "_i").agg(F.min(time).alias(time), F.avg(value).alias(value))
+
+
 def running_mean(
     df: DataFrame,
     window: int,
@@ -47,17 +53,17 @@ def running_mean(
     """Centred moving mean; times without a complete window are dropped.
 
     ``axis='rows'`` counts rows in time order; ``'day'`` and ``'month'`` count
-    calendar steps, so a missing step makes its windows incomplete. One long
+    calendar steps, each with the mean of its rows, so a missing step makes its windows incomplete. One long
     series (no ``by``), calendar axes, and ``blocked=True`` cut the time axis into
     blocks; otherwise each cell, which holds one row per time, is one window group.
     """
     by = list(by)
     before, after = window // 2, (window - 1) // 2
     if axis == "day":
-        return _blocked_mean(df.withColumn("_i", F.unix_date(F.to_date(time)).cast("long")), window, by, value)
+        return _blocked_mean(_one_a_step(df, F.unix_date(F.to_date(time)), by, value, time), window, by, value)
     if axis == "month":
         months = F.year(time) * 12 + F.month(time)
-        return _blocked_mean(df.withColumn("_i", months.cast("long")), window, by, value)
+        return _blocked_mean(_one_a_step(df, months, by, value, time), window, by, value)
     if axis != "rows":
         raise ValueError("axis is rows, day or month")
     if blocked or (blocked is None and not by):

@@ -77,7 +77,7 @@ def level_select(
 
 
 def nearest_label(df: DataFrame, dim: str, targets: Sequence[float]) -> DataFrame:
-    """``(target, dim)``: the axis label nearest to each target; ties keep the lower label.
+    """``(target, dim)``: the axis label nearest to each target; ties keep the lower label; missing labels are passed over.
 
     One aggregation over the field, one output row per target.
     """
@@ -90,7 +90,8 @@ def nearest_label(df: DataFrame, dim: str, targets: Sequence[float]) -> DataFram
         )
         for t in targets
     ]
-    return df.agg(F.array(*picks).alias("picks")).select(F.inline("picks"))
+    known = df.where(F.col(dim).isNotNull() & ~F.isnan(F.col(dim).cast("double")))
+    return known.agg(F.array(*picks).alias("picks")).select(F.inline("picks"))
 
 
 def select_nearest(df: DataFrame, dim: str, target: float) -> DataFrame:

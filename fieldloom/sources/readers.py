@@ -137,13 +137,23 @@ def filename_metadata(df: DataFrame, name: Column | None = None) -> DataFrame:
 
 
 def decode_epoch_time(df: DataFrame, units: str | Column, number: str = "time", out: str = "time") -> DataFrame:
-    """Numeric ``<unit>s since <date>`` to timestamps; a base without a day starts on the first."""
+    """Numeric ``<unit>s since <date> [<clock time>]`` to timestamps; a base without a day starts on the first.
+
+    Units are seconds to weeks, and whole calendar months and years; any other unit fails.
+    """
     unit_text = F.lit(units) if isinstance(units, str) else units
-    full = F.regexp_replace(unit_text, r"since (\d{4}-\d{1,2})$", "since $1-01")
-    base = F.to_timestamp_ntz(F.regexp_extract(full, r"since (\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("yyyy-M-d"))
-    seconds = (
-        F.when(full.startswith("day"), 86400.0).when(full.startswith("hour"), 3600.0).when(full.startswith("minute"), 60.0).otherwise(1.0)
+    full = F.lower(F.regexp_replace(unit_text, r"since (\d{4}-\d{1,2})$", "since $1-01"))
+    day = F.to_timestamp_ntz(F.regexp_extract(full, r"since (\d{4}-\d{1,2}-\d{1,2})", 1), F.lit("yyyy-M-d"))
+    clock = [F.regexp_extract(full, r"since \S+?[t ](\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?", k).try_cast("double") for k in (1, 2, 3)]
+    start = sum(F.coalesce(part, F.lit(0.0)) * size for part, size in zip(clock, (3600.0, 60.0, 1.0), strict=True))
+    seconds = F.lit(None).cast("double")
+    for name, size in (("week", 604800.0), ("day", 86400.0), ("hour", 3600.0), ("min", 60.0), ("sec", 1.0)):
+        seconds = F.when(full.startswith(name), size).otherwise(seconds)
+    months = F.when(full.startswith("month"), 1).when(full.startswith("year"), 12)
+    known = F.when(full.isNull() | seconds.isNotNull() | months.isNotNull(), F.lit(0.0)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown unit of time: "), full)).cast("double")
     )
-    micros = F.round(F.col(number) * seconds * 1e6).cast("long")
+    micros = F.round((F.coalesce(F.col(number) * seconds, F.lit(0.0)) + start + known) * 1e6).cast("long")
     shift = F.make_dt_interval(days=F.lit(0), hours=F.lit(0), mins=F.lit(0), secs=(micros / F.lit(1e6)).cast("decimal(18,6)"))
+    base = F.when(F.col(number).isNotNull(), day) + F.make_ym_interval(F.lit(0), F.coalesce(F.col(number) * months, F.lit(0)).cast("int"))
     return df.withColumn(out, base + shift)

@@ -1,12 +1,11 @@
 """Scans, sinks and data-quality checks."""
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from fieldloom.operators import stats
+from fieldloom.session import shared_folder
 from fieldloom.sources import quality, readers, writers
 from fieldloom.streaming.incremental import incremental_years
 from workload import views
@@ -14,11 +13,8 @@ from workload.registry import query
 
 
 def scratch(spark, name):
-    """A new folder for what a sink writes, in the shared folder if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="fieldloom-"), name)
+    """A new folder for what a sink writes, in the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("scan_field", "time:t value:4", "SELECT ts AS time, value FROM events")
