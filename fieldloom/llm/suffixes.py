@@ -35,7 +35,9 @@ from fieldloom.llm.substrings import covered, dealt, runs_of, settled
 
 GRAM = 32
 HOT = 2_000
-STRETCH = 1 << 19
+STRETCH = 1 << 18
+#: Contexts that are sorted at once; a group of up to ``HOT`` stays together.
+TOGETHER = 2_000
 
 
 def window_minima(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -259,7 +261,7 @@ def found_runs(width: int):
         pieces: list[np.ndarray] = []
         for piece in np.split(order, edges):  # groups are sorted together up to a bounded number of contexts
             pieces.append(piece)
-            if sum(map(len, pieces)) >= 8_000:
+            if sum(map(len, pieces)) >= TOGETHER:
                 yield from solved(np.concatenate(pieces), source, keys, docs, places, depths, texts, again)
                 pieces = []
         if pieces:
