@@ -4,7 +4,7 @@ Positions whose remainder modulo a period lies in a difference cover are anchors
 to anchors. Two equal windows therefore share, at equal depth, an anchor whose next ``window - period + 1`` words lie inside both. Only anchors are
 hashed and compared over all documents; each one that repeats is extended to the windows that contain it, and these are compared as a whole.
 
-1. Tasks hash the words after each anchor and send each value once a batch, with the part its document belongs to.
+1. Tasks hash the words after each anchor and send each value once a batch, with the part its document belongs to, in one array a bucket.
 2. Values that repeat go back to those parts. A part (the documents of one hash value of the id) hashes the windows around its repeated anchors and
    sends each distinct one once, with its first place; the others are known to be repeats there and then.
 3. Of equal windows the first place in the order of (doc_id, start) stays, all others go back to their parts, which cut the words they cover.
@@ -90,40 +90,44 @@ def dealt(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
 
 
-KEYS = "bucket int, part int, keys binary, twice binary"
-_KEYS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("twice", pa.binary())])
+KEYS = "bucket int, part int, keys binary, owners binary, twice binary"
+_KEYS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("twice", pa.binary())])
+
+
+def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table; the table is searched, never sorted again."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def by_owner(keys: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its keys) for each owner."""
+    order = np.argsort(owners, kind="stable")
+    keys, owners = keys[order], owners[order]
+    cuts = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(keys)]
+    yield from ((int(owners[a]), keys[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
 def send_keys(keys: np.ndarray, parts: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One batch's keys: each once to its bucket with the part of its owner; a key that the batch holds several times is marked, and goes straight to the
     parts of all its owners (bucket -1 - part)."""
-    order = np.lexsort((parts, keys))
-    keys, parts = keys[order], parts[order]
+    order = np.argsort(keys, kind="stable")
+    keys, parts = keys[order], parts[order].astype(np.int32)
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    run = np.cumsum(new) - 1
-    several = np.bincount(run, minlength=1)[run] > 1 if len(keys) else new
-    rows: list[list] = [[], [], [], []]
-    own, own_parts, marked = keys[new], parts[new], several[new]
-    edges = np.append(np.searchsorted(own, bucket_floor(buckets)), len(own))
+    lone = new & np.append(new[1:], True)
+    marked = keys[new & ~lone]
+    rows: list[tuple] = []
+    floor = bucket_floor(buckets)
+    own, own_parts = keys[lone], parts[lone]
+    edges, marked_edges = np.append(np.searchsorted(own, floor), len(own)), np.append(np.searchsorted(marked, floor), len(marked))
     for b in range(buckets):
-        k, p, m = (a[edges[b] : edges[b + 1]] for a in (own, own_parts, marked))
-        if m.any():
-            for column, value in zip(rows, (b, -1, b"", k[m].tobytes()), strict=True):
-                column.append(value)
-        k, p = k[~m], p[~m]
-        order = np.argsort(p, kind="stable")
-        cuts = np.flatnonzero(np.diff(p[order])) + 1
-        for group in np.split(order, cuts) if len(order) else ():
-            for column, value in zip(rows, (b, int(p[group[0]]), k[group].tobytes(), b""), strict=True):
-                column.append(value)
-    k, p = keys[several], parts[several]
-    order = np.lexsort((k, p))
-    k, p = k[order], p[order]
-    for group in np.split(np.arange(len(k)), np.flatnonzero(np.diff(p)) + 1) if len(k) else ():
-        for column, value in zip(rows, (-1 - int(p[group[0]]), int(p[group[0]]), np.unique(k[group]).tobytes(), b""), strict=True):
-            column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _KEYS, strict=True)], schema=_KEYS)
+        mine, twice = slice(edges[b], edges[b + 1]), marked[marked_edges[b] : marked_edges[b + 1]]
+        if mine.stop > mine.start or len(twice):
+            rows.append((b, -1, own[mine].tobytes(), own_parts[mine].tobytes(), twice.tobytes()))
+    rows.extend((-1 - part, part, np.unique(k).tobytes(), b"", b"") for part, k in by_owner(keys[~lone], parts[~lone]))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_KEYS)], schema=_KEYS)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, dict]]:
@@ -150,11 +154,11 @@ def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if bucket < 0:
             yield pa.RecordBatch.from_arrays([pa.array(rows["part"], pa.int32()), pa.array(rows["keys"], pa.binary())], schema=schema)
             continue
-        marked = [as_numbers(t) for t in rows["twice"]]
-        every, counts = np.unique(np.concatenate([*(as_numbers(k) for k in rows["keys"]), *marked, *marked]), return_counts=True)
-        again = every[counts > 1]
-        back = [(p, k[np.isin(k, again)]) for p, k in ((p, as_numbers(k)) for p, k in zip(rows["part"], rows["keys"], strict=True)) if p >= 0]
-        back = [(p, k.tobytes()) for p, k in back if len(k)]
+        keys, marked = (np.concatenate([as_numbers(k) for k in rows[c]]) for c in ("keys", "twice"))
+        owners = np.concatenate([np.frombuffer(o, np.int32) for o in rows["owners"]])
+        every, counts = np.unique(np.concatenate([keys, marked, marked]), return_counts=True)
+        again = among(keys, every[counts > 1])
+        back = [(p, k.tobytes()) for p, k in by_owner(keys[again], owners[again])]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in back], pa.int32()), pa.array([k for _, k in back], pa.binary())], schema=schema)
 
 
@@ -199,11 +203,14 @@ def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys = np.concatenate([as_numbers(k) for k in rows["keys"]])
             docs = np.concatenate([np.frombuffer(d, np.int64) for d in rows["docs"]])
             starts = np.concatenate([np.frombuffer(s, np.int64) for s in rows["starts"]])
-            source = np.repeat(np.arange(len(back)), [len(k) // 8 for k in rows["keys"]])
+            edges = np.cumsum([0, *(len(k) // 8 for k in rows["keys"])]).tolist()
             order = np.lexsort((starts, docs, keys))
             later = np.zeros(len(keys), bool)
             later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
-            back = [(p, docs[m].tobytes(), starts[m].tobytes()) for i, p in enumerate(rows["part"]) if (m := later & (source == i)).any()]
+            back = []
+            for part, x, y in zip(rows["part"], edges, edges[1:], strict=False):
+                if (mine := later[x:y]).any():
+                    back.append((part, docs[x:y][mine].tobytes(), starts[x:y][mine].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in back], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
@@ -242,7 +249,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
         for doc, t in _part_texts(left) if len(again) else ():
             hashes = words(t)[0]
             at = anchors(len(hashes), window, period)
-            at = at[np.isin(window_hashes(rolling, hashes, at, depth), again)] if len(at) else at
+            at = at[among(window_hashes(rolling, hashes, at, depth), again)] if len(at) else at
             if len(at):
                 near = np.zeros(len(hashes) + 1, np.int64)  # window starts from which the anchor is less than a period away
                 np.add.at(near, np.maximum(at - period + 1, 0), 1)
