@@ -224,7 +224,8 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, and ``kept``, its remaining words joined by single spaces."""
-    period, parts = period_for(window), 4 * parts_for(docs.sparkSession)
+    buckets = parts_for(docs.sparkSession)
+    period, parts = period_for(window), 4 * buckets  # texts in smaller groups than keys: every bucket answers every part with one row
     depth = window - period + 1
     rows = dealt(docs, doc_id, text, parts)
 
@@ -240,7 +241,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
                     keys.append(window_hashes(rolling, hashes, at, depth))
                     owners.append(np.full(len(at), part, np.int32))
             if keys:
-                yield send_keys(np.concatenate(keys), np.concatenate(owners), parts)
+                yield send_keys(np.concatenate(keys), np.concatenate(owners), buckets)
 
     def extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         again = np.unique(np.concatenate([as_numbers(k) for k in right.column("keys").to_pylist()] or [np.zeros(0, np.uint64)]))
@@ -260,7 +261,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
                 found[2].append(starts.astype(np.int64))
         if not found[0]:
             return _WINDOWS.empty_table()
-        return send_windows(key[0].as_py(), *(np.concatenate(f) for f in found), parts)
+        return send_windows(key[0].as_py(), *(np.concatenate(f) for f in found), buckets)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         docs_, starts = (np.concatenate([np.frombuffer(v, np.int64) for v in right.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("docs", "starts"))
@@ -278,9 +279,9 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
         kinds = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
         return pa.table([pa.array(c, k) for c, (_, k) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    marks = settled(rows.select("part", "text").mapInArrow(find, KEYS), parts).mapInArrow(repeated_keys, "part int, keys binary")
+    marks = settled(rows.select("part", "text").mapInArrow(find, KEYS), buckets).mapInArrow(repeated_keys, "part int, keys binary")
     texts = rows.groupBy("part")
     windows = texts.cogroup(marks.groupBy("part")).applyInArrow(extend, WINDOWS)
-    later = settled(windows, parts).mapInArrow(later_windows, "part int, docs binary, starts binary")
+    later = settled(windows, buckets).mapInArrow(later_windows, "part int, docs binary, starts binary")
     result = texts.cogroup(later.groupBy("part")).applyInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string")
     return result.withColumnRenamed("id", doc_id)
