@@ -1,16 +1,17 @@
-"""Document fingerprints by winnowing, with DataFrame functions only.
+"""Document fingerprints by winnowing.
 
 Every ``K`` consecutive characters are hashed; of every ``WINDOW`` consecutive hashes the smallest is kept with its position, of equal ones the rightmost.
 Two texts that share ``K + WINDOW - 1`` characters therefore share a fingerprint. A text with fewer hashes is one window; one shorter than ``K`` is one
-hash of the whole text; an empty text has none.
+hash of the whole text; an empty text has none. An entry is one number, position * 2**32 + hash. The hash is Spark's ``xxhash64`` of the characters in UTF-8.
 
-An entry is one number, position * 2**32 + hash. Inside, hashes carry their position in the low bits, so the smallest number is the rightmost smallest
-hash. A window's minimum is at most the minimum of an aligned block of half a window that the window holds, so per block only the few numbers at most as
-large as the block minima around it can be minima (about one in thirteen); among these an entry is kept if the nearest smaller ones on both sides leave
-room for a window. All of it happens inside a row, in stretches of bounded length.
+Whole texts are winnowed in numpy inside Arrow batches, in stretches of bounded length. With DataFrame functions a string is made of every character's
+gram, which alone takes most of the time allowed (figures in the README).
 
 An edited text (its last third replaced by the head of the next document) takes over what winnowing says about windows that lie wholly in one of the two
-parts, and only the windows across the seam are hashed anew.
+parts, and only the windows across the seam are hashed anew; that, the neighbours and the likeness are DataFrame functions. There hashes carry their
+position in the low bits, so the smallest number is the rightmost smallest hash; a window's minimum is at most the minimum of an aligned block of half a
+window that the window holds, so only numbers at most as large as the block minima around them can be minima, and among these an entry is kept if the
+nearest smaller ones on both sides leave room for a window.
 
 Defined cases: null text counts as empty; two empty fingerprints have likeness 1, an empty and another one 0; rows that repeat an id follow one another in
 the order of their texts' hashes, wholly equal rows count as one document and give equal rows; a null id comes last; a single document is its own next.
@@ -18,18 +19,22 @@ the order of their texts' hashes, wholly equal rows count as one document and gi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from fieldloom.llm.common import parts_for, written
+from fieldloom.llm.suffixes import window_minima
 
 K = 16
 WINDOW = 64
 BLOCK = WINDOW // 2
-STRETCH = 2048
+#: Characters of a text that are hashed at once.
+STRETCH = 1 << 17
 #: Candidates looked at on each side of a candidate before all that can lie within a window are.
 NEAR = 8
 
@@ -37,6 +42,91 @@ _LOW = (1 << 31) - 1
 _NONE = "array<bigint>"
 
 
+#: The five primes and the seed of the public XXH64 function as Spark uses it.
+P1, P2, P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+P4, P5 = np.uint64(0x85EBCA77C2B2AE63), np.uint64(0x27D4EB2F165667C5)
+SEED = np.uint64(42)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """XXH64 of the strings of ``length`` bytes at ``starts``; equals ``F.xxhash64`` of each."""
+
+    def numbers(offset: int, kind: str) -> np.ndarray:
+        size = np.dtype(kind).itemsize
+        every = np.ndarray((len(data) - size + 1,), kind, data, strides=(1,))  # the number that begins at each byte
+        return every[starts + offset].astype(np.uint64)
+
+    with np.errstate(over="ignore"):
+        mixed = lambda x: _turned(x * P2, 31) * P1
+        at = 0
+        if length >= 32:
+            state = [np.full(len(starts), v, np.uint64) for v in (SEED + P1 + P2, SEED + P2, SEED, SEED - P1)]
+            for at in range(0, length - 31, 32):
+                state = [_turned(v + numbers(at + 8 * k, "<u8") * P2, 31) * P1 for k, v in enumerate(state)]
+            at += 32
+            h = sum(_turned(v, bits) for v, bits in zip(state, (1, 7, 12, 18), strict=True))
+            for v in state:
+                h = (h ^ mixed(v)) * P1 + P4
+        else:
+            h = np.full(len(starts), SEED + P5, np.uint64)
+        h = h + np.uint64(length)
+        while at + 8 <= length:
+            h = _turned(h ^ mixed(numbers(at, "<u8")), 27) * P1 + P4
+            at += 8
+        if at + 4 <= length:
+            h = _turned(h ^ numbers(at, "<u4") * P1, 23) * P2 + P3
+            at += 4
+        for k in range(at, length):
+            h = _turned(h ^ numbers(k, "u1") * P5, 11) * P1
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        return h ^ (h >> np.uint64(32))
+
+
+def winnow(data: np.ndarray) -> tuple[int, np.ndarray]:
+    """(characters, sorted entries) of a whole text given as UTF-8 bytes."""
+    edges = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    n = len(edges) - 1
+    if not n:
+        return 0, np.zeros(0, np.int64)
+    k = min(K, n)
+    window = min(WINDOW, n - k + 1)
+    found = []
+    for base in range(0, n - k - window + 2, STRETCH):
+        here = edges[base : base + STRETCH + window + k - 1]
+        starts, lengths = here[:-k], here[k:] - here[:-k]
+        hashes = np.empty(len(starts), np.uint64)
+        for length in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == length)
+            hashes[mine] = xxh64(data, starts[mine], length)
+        hashes &= np.uint64(_LOW)
+        # The hash, then the place from the right: of equal hashes the rightmost is the least number.
+        place = np.uint64(_LOW) - np.arange(len(hashes), dtype=np.uint64)
+        least = window_minima((hashes << np.uint64(31)) | place, window)
+        at = (np.uint64(_LOW) - (least & np.uint64(_LOW))).astype(np.int64)
+        at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+        found.append(((at + base) << 32) | hashes[at].astype(np.int64))
+    return n, np.unique(np.concatenate(found))
+
+
+MARKS = "k bigint, h bigint, n_chars bigint, entries array<bigint>"
+
+
+def winnowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, h, n_chars, entries) of rows (k, h, text)."""
+    for batch in batches:
+        made = [winnow(np.frombuffer(t.as_buffer(), np.uint8)) for t in batch.column("text")]
+        ends = np.cumsum([0, *(len(e) for _, e in made)]).astype(np.int32)
+        values = np.concatenate([e for _, e in made]) if made else np.zeros(0, np.int64)
+        entries = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        columns = [batch.column("k"), batch.column("h"), pa.array([n for n, _ in made], pa.int64()), entries]
+        yield pa.RecordBatch.from_arrays(columns, ["k", "h", "n_chars", "entries"])
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -82,7 +172,7 @@ def _kept(candidates: Column, n: Column) -> Column:
 
 
 def _winnow(text: Column, shift: Column, alone: Column) -> Column:
-    """Entries of one stretch; ``alone``: the stretch is a whole text, which is one window even if it is shorter than one."""
+    """Entries of a short text by DataFrame functions; ``alone``: it is a whole text, which is one window even if it is shorter than one."""
     grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{K}}}))."), F.lit(1))
     numbers = F.transform(grams, lambda g, i: F.shiftleft(_hash31(g), 31) + (F.lit(_LOW) - i))
 
@@ -104,17 +194,6 @@ def _winnow(text: Column, shift: Column, alone: Column) -> Column:
     return _let(numbers, of)
 
 
-def fingerprint(text: Column) -> Column:
-    """Sorted entries of a whole text."""
-    text = F.coalesce(text, F.lit(""))
-    overlap = STRETCH + WINDOW + K - 2
-    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{overlap}}})).{{1,{STRETCH}}}"), F.lit(1))
-    return _let(
-        stretches,
-        lambda parts: F.array_distinct(F.flatten(F.transform(parts, lambda s, j: _winnow(s, (j * STRETCH).cast("bigint"), F.size(parts) == 1)))),
-    )
-
-
 def _position(entry: Column) -> Column:
     return F.shiftright(entry, 32)
 
@@ -182,7 +261,7 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """For each document: its entries, the edited text and its entries, and the next document's entries."""
     keyed = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = keyed.withColumn("k", F.coalesce(F.col("id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
-    marks = written(keyed.select("k", "h", F.length("text").cast("bigint").alias("n_chars"), fingerprint(F.col("text")).alias("entries")), "fingerprints")
+    marks = written(keyed.select("k", "h", "text").mapInArrow(winnowed, MARKS), "fingerprints")
     unique = marks.groupBy("k", "h").agg(F.first("n_chars").alias("n_chars"), F.count("*").alias("copies"))
     around = written(_neighbours(unique.select("k", "h", "n_chars")), "neighbours")
     repeated = not unique.where("copies > 1").isEmpty()

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, fingerprints, language, mixing, nearcopies, packing, quality, substrings, suffixes, toxicity
@@ -253,6 +254,21 @@ def test_winnowing(docs, empty):
     assert fingerprints.edited_pairs(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [0, 1, 4, 7, 8, 15, 16, 17, 31, 32, 33, 40, 63, 64])
+def test_gram_hashes_are_xxh64(length):
+    data = np.random.default_rng(length).integers(0, 256, 200).astype(np.uint8)
+    starts = np.arange(len(data) - length)
+    got = fingerprints.xxh64(data, starts, length)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + length].tobytes(), seed=42) for a in starts.tolist()]
+
+
+def test_winnowing_in_stretches(monkeypatch):
+    text = np.frombuffer(("aé漢🙂 " * 50 + words(300, 5) + "z" * 400).encode(), np.uint8)
+    n, whole = fingerprints.winnow(text)
+    monkeypatch.setattr(fingerprints, "STRETCH", 100)
+    assert n == len(text.tobytes().decode()) and fingerprints.winnow(text)[1].tolist() == whole.tolist()
+
+
 def test_repeated_documents_have_equal_fingerprints(spark):
     table = spark.createDataFrame([(1, words(80, 1)), (1, words(80, 1)), (1, "other"), (2, words(80, 1))], "doc_id bigint, text string")
     got = fingerprints.edited_pairs(table).collect()
