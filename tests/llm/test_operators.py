@@ -8,7 +8,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, fingerprints, language, mixing, nearcopies, packing, quality, substrings, suffixes, toxicity
@@ -254,19 +253,13 @@ def test_winnowing(docs, empty):
     assert fingerprints.edited_pairs(empty).count() == 0
 
 
-@pytest.mark.parametrize("length", [0, 1, 4, 7, 8, 15, 16, 17, 31, 32, 33, 40, 63, 64])
-def test_gram_hashes_are_xxh64(length):
-    data = np.random.default_rng(length).integers(0, 256, 200).astype(np.uint8)
-    starts = np.arange(len(data) - length)
-    got = fingerprints.xxh64(data, starts, length)
-    assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + length].tobytes(), seed=42) for a in starts.tolist()]
-
-
-def test_winnowing_in_stretches(monkeypatch):
-    text = np.frombuffer(("aé漢🙂 " * 50 + words(300, 5) + "z" * 400).encode(), np.uint8)
-    n, whole = fingerprints.winnow(text)
-    monkeypatch.setattr(fingerprints, "STRETCH", 100)
-    assert n == len(text.tobytes().decode()) and fingerprints.winnow(text)[1].tolist() == whole.tolist()
+def test_ranges_of_keys(spark):
+    r = random.Random(11)
+    firsts = sorted({(r.randrange(40), r.randrange(-50, 50)) for _ in range(150)}, reverse=True)
+    keys = [*firsts, *((r.randrange(firsts[0][0]), r.randrange(-50, 50)) for _ in range(200))]
+    table = spark.createDataFrame([k for k in keys if k <= firsts[0]], "k bigint, h bigint")
+    got = table.select("k", "h", fingerprints._range_of(firsts, F.struct("k", "h"), 7).alias("at")).collect()
+    assert all(x.at == sum(f >= (x.k, x.h) for f in firsts) - 1 for x in got)
 
 
 def test_repeated_documents_have_equal_fingerprints(spark):
