@@ -9,11 +9,25 @@ from fieldloom.functions.scalars import season_of
 from fieldloom.functions.student import t_two_sided
 
 
-def fill_calendar(df: DataFrame, start: str, end: str, date: str = "date", value: str = "count") -> DataFrame:
-    """One row per day of ``start..end``; days without data get 0, repeated days are added up."""
-    one = df.sparkSession.range(1)
-    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    calendar = one.select(F.explode(days).alias(date))
+def fill_calendar(
+    df: DataFrame,
+    start: str | None = None,
+    end: str | None = None,
+    date: str = "date",
+    value: str = "count",
+    bounds: DataFrame | None = None,
+) -> DataFrame:
+    """One row per day of ``start..end``; days without data get 0, repeated days are added up.
+
+    In place of ``start`` and ``end``, ``bounds`` is a table of one row
+    ``(first_day, last_day)``; bounds that hold no day give no rows.
+    """
+    if bounds is None:
+        bounds = df.sparkSession.range(1).select(
+            F.lit(start).cast("date").alias("first_day"), F.lit(end).cast("date").alias("last_day")
+        )
+    days = F.sequence(F.col("first_day"), F.col("last_day"))
+    calendar = bounds.where("last_day >= first_day").select(F.explode(days).alias(date))
     totals = df.groupBy(F.to_date(F.col(date)).alias(date)).agg(F.sum(value).alias(value))
     return calendar.join(totals, date, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
 
@@ -37,6 +51,15 @@ def season_year_bounds(df: DataFrame, date: str = "date") -> DataFrame:
     )
 
 
+def calendar_year_bounds(df: DataFrame, date: str = "date") -> DataFrame:
+    """One row ``(first_day, last_day)``: the January-December years that the data touch."""
+    ends = df.agg(F.min(F.to_date(date)).alias("_a"), F.max(F.to_date(date)).alias("_b"))
+    return ends.select(
+        F.make_date(F.year("_a"), F.lit(1), F.lit(1)).alias("first_day"),
+        F.make_date(F.year("_b"), F.lit(12), F.lit(31)).alias("last_day"),
+    )
+
+
 def complete_season_years(df: DataFrame, date: str = "date") -> DataFrame:
     """Rows inside whole December-November years."""
     bounds = season_year_bounds(df, date)

@@ -158,3 +158,30 @@ def test_trend_p_value(spark):
     # Closed form of the tail for four degrees of freedom.
     z = t / np.sqrt(4 + t * t)
     assert got.p == pytest.approx(1 - z * (1 + (1 - z * z) / 2), rel=1e-9)
+
+
+def test_calendars_follow_the_tables(spark, tmp_path):
+    """Orders of other years than those of the supplied tables lose no day and no whole year."""
+    from workload.catalog import QUERIES
+
+    days = pd.date_range("2004-03-05", "2009-02-10")
+    orders = pd.DataFrame({"o_orderdate": days, "o_totalprice": 4e5 + np.random.default_rng(1).integers(0, 900, len(days))})
+    orders = orders.assign(o_orderkey=orders.index, o_orderpriority="1-URGENT", o_orderstatus="F")
+    to_spark(spark, orders.rename(columns={"o_orderdate": "time"})).withColumnRenamed("time", "o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    filled = QUERIES["fill_calendar"](spark, str(tmp_path)).toPandas().sort_values("date")
+    assert list(filled["date"].iloc[[0, -1]]) == ["2004-01-01", "2009-12-31"]
+    assert len(filled) == len(pd.date_range("2004-01-01", "2009-12-31")) and filled["count"].sum() == len(days)
+    high = days[orders.o_totalprice >= orders.o_totalprice.quantile(0.75)]
+    whole = high[(high >= "2004-12-01") & (high <= "2008-11-30")]
+    got = {r.season_year: r.annual for r in QUERIES["season_year_counts"](spark, str(tmp_path)).collect()}
+    assert got == (whole + pd.DateOffset(months=1)).year.value_counts().to_dict() and sorted(got) == [2005, 2006, 2007, 2008]
+    assert {r.n for r in QUERIES["seasonal_trend"](spark, str(tmp_path)).collect()} == {4}
+    assert QUERIES["seasonal_trend_p"](spark, str(tmp_path)).count() == 5
+
+
+def test_calendar_of_no_whole_year_is_empty(spark):
+    days = spark.sql("SELECT DATE '2001-03-01' AS date UNION ALL SELECT DATE '2001-08-01'")
+    counts = calendars.counts_per_day(days)
+    assert calendars.fill_calendar(counts, bounds=calendars.season_year_bounds(days)).count() == 0
+    none = calendars.calendar_year_bounds(days.limit(0))
+    assert calendars.fill_calendar(counts, bounds=none).count() == 0

@@ -196,7 +196,7 @@ def _(spark, d):
     LEFT JOIN (SELECT date, count(*) AS n FROM urgent_days GROUP BY 1) u ON u.date = r.day""")
 def _(spark, d):
     counts = calendars.counts_per_day(views.urgent_days(spark, d))
-    return calendars.fill_calendar(counts, "1995-01-01", "2001-12-31")
+    return calendars.fill_calendar(counts, bounds=calendars.calendar_year_bounds(views.series(spark, d), "time"))
 
 
 @query("complete_season_years", "time:d value:6", """
@@ -226,7 +226,8 @@ _COUNTS = """
 def _season_counts(spark, d):
     from workload.stats_queries import high_days
 
-    filled = calendars.fill_calendar(calendars.counts_per_day(high_days(spark, d)), "1995-12-01", "2000-11-30")
+    whole_years = calendars.season_year_bounds(views.series(spark, d), "time")
+    filled = calendars.fill_calendar(calendars.counts_per_day(high_days(spark, d)), bounds=whole_years)
     return calendars.season_year_counts(filled)
 
 
