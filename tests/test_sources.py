@@ -134,3 +134,26 @@ def test_asof_edges(spark):
     assert values("pad") == [None, 1.0, 1.0, 2.0]
     assert values("backfill") == [1.0, 1.0, 2.0, None]
     assert values("nearest") == [1.0, 1.0, 1.0, 2.0]
+
+
+def test_interval_join_pairs_neighbours_only(spark):
+    """Intervals of no length to a year; bins hold few more pairs than lie within the intervals."""
+    rows = spark.range(4000).select(
+        (F.lit("2020-02-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") * 7919) % 86400)).alias("time"), F.col("id").alias("row")
+    )
+    spans = spark.range(300).select(
+        F.col("id").alias("id"), (F.lit("2020-02-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") * 6151) % 86400)).alias("start_ts")
+    )
+    length = F.element_at(F.array(*[F.lit(n) for n in (0, 1, 59, 60, 1800, -5)]), (F.col("id") % 6 + 1).cast("int"))
+    spans = spans.withColumn("end_ts", F.col("start_ts") + F.make_dt_interval(secs=F.when(F.col("id") == 4, 366 * 86400).otherwise(length)))
+    spans = spans.unionAll(spark.sql("SELECT -1L, TIMESTAMP_NTZ'2020-02-01', CAST(NULL AS TIMESTAMP_NTZ)"))
+    rows, spans = rows.unionAll(spark.sql("SELECT CAST(NULL AS TIMESTAMP_NTZ), -1L")).cache(), spans.cache()
+    got = align.interval_join(rows, spans)
+    assert got.columns == ["time", "row", "id", "start_ts", "end_ts"]
+    plain = rows.toPandas().merge(spans.toPandas(), how="cross")
+    plain = plain[(plain.time >= plain.start_ts) & (plain.time <= plain.end_ts)]
+    found = sorted((r.row, r.id) for r in got.collect())
+    assert found == sorted(zip(plain.row, plain.id, strict=True))
+    a, b = align._binned(rows, spans, "time", "start_ts", "end_ts")
+    assert a.join(b, ["_width", "_bin"]).count() < 6 * len(found)  # all pairs of the day: about 250,000
+    assert align.interval_join(rows, spans.limit(0)).count() == 0
