@@ -15,8 +15,8 @@ hash the number of leading zeros and 10 bits of mantissa. Equal sets are one cla
 With 32 bands a pair at the threshold of 0.8 shares none with probability (1 - 0.8**4)**32 = 5e-8; closer pairs even less often.
 
 Defined cases: texts without words have an empty set, are linked with nothing and kept; texts of fewer words than a shingle are one shingle; rows that
-share an id are one document, joined if their texts differ; a null id counts as the smallest; an empty table gives an empty result; extra columns are kept
-by ``keep_one``.
+share an id are judged by their texts, each for itself, and rows that share id and text alike (``near_copies`` marks all of them, ``keep_one`` keeps one); a
+null id counts as the smallest; an empty table gives an empty result; extra columns are kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import mix64, parts_for, written
@@ -86,7 +86,7 @@ def likely(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold
     return (estimate >= threshold - 5 * spread) & (small >= threshold * large - 1e-9), estimate
 
 
-SKETCH = "id bigint, doc bigint, n bigint, h1 bigint, h2 bigint, regs binary"
+SKETCH = "id bigint, doc bigint, body bigint, n bigint, h1 bigint, h2 bigint, regs binary"
 
 
 def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
@@ -101,13 +101,18 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
                 h2.append(int(mix64(found ^ np.uint64(0xB5297A4D)).sum(dtype=np.uint64).astype(np.int64)))
                 regs.append(registers(found).tobytes())
             ids = batch.column("id")
-            columns = [ids, ids.fill_null(NULL_ID), pa.array(ns, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "n", "h1", "h2", "regs"])
+            columns = [ids, ids.fill_null(NULL_ID), batch.column("body"), pa.array(ns, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "body", "n", "h1", "h2", "regs"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), _body(text).alias("body"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, SKETCH)
 
 
+def _body(text: str) -> Column:
+    """Tells rows of one id apart by their texts."""
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
 def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node) for each band of registers that is not empty."""
     salt = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -270,12 +275,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Documents are linked if ``percent`` or more of their shingles are common."""
+    out = _marked(docs, size, percent, doc_id, text)
+    named = F.when(F.col("first") != NULL_ID, F.col("first"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), named.alias("component_id"), "kept")
+
+
+def _marked(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """One row per document: id, body, n, first (the smallest id of its component) and kept. A node is a class, so an id may have several."""
     sketch = written(sketches(docs, size, doc_id, text), "sketches")
     same = ["n", "h1", "h2"]
-    classes = sketch.where("n > 0").groupBy(same).agg(F.min("doc").alias("rep"))
-    members = written(sketch.select("id", "doc", *same).join(classes, same, "left").select("id", "doc", "n", F.coalesce("rep", "doc").alias("rep")), "members")
-    own = classes.select(*same, F.col("rep").alias("doc"))
-    reps = written(sketch.join(own, [*same, "doc"], "left_semi").select(F.col("doc").alias("node"), "n", "regs"), "reps")
+    classes = sketch.where("n > 0").groupBy(same).agg(F.min(F.struct("doc", "body")).alias("head"), F.first("regs").alias("regs"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = sketch.select("id", "doc", "body", *same).join(classes.select(*same, "head", "node"), same, "left")
+    members = written(members.select("id", "doc", "body", "n", "head", "node"), "members")
+    reps = classes.select("node", "n", "regs")
 
     keys = reps.select("node", "regs").mapInArrow(bands, "key bigint, node bigint")
     many = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -283,8 +296,11 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     found = written(candidate_pairs(rows.withColumn("comp", F.col("node")), reps, percent, True), "found")
 
     nodes = found.where("kind = 2").select(F.col("a").alias("node")).distinct()
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("node"), F.col(text).cast("binary").alias("text"))
-    sets = written(texts.join(nodes, "node", "left_semi").mapInArrow(_sets(size), "node bigint, members binary"), "sets")
+    wanted = classes.join(nodes, "node").select("node", F.col("head.doc").alias("doc"), F.col("head.body").alias("body"))
+    own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID)).alias("doc")
+    texts = docs.select(own, _body(text).alias("body"), F.col(text).cast("binary").alias("text")).join(wanted, ["doc", "body"])
+    texts = texts.dropDuplicates(["doc", "body"]).select("node", "text")
+    sets = written(texts.mapInArrow(_sets(size), "node bigint, members binary"), "sets")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     links = written(verified(pairs, sets, percent), "links")
     labels = components(links)
@@ -298,9 +314,10 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     if not rest.isEmpty():
         labels = components(links.union(rest))
 
-    out = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    named = F.when(F.col("comp") != NULL_ID, F.col("comp"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), named.alias("component_id"), (F.col("doc") == F.col("comp")).alias("kept"))
+    heads = labels.join(classes.select("node", "head"), "node").groupBy("comp").agg(F.min("head").alias("top"))
+    out = members.join(labels.join(heads, "comp").select("node", "top"), "node", "left").withColumn("top", F.coalesce("top", "head"))
+    kept = F.col("top").isNull() | ((F.col("doc") == F.col("top.doc")) & (F.col("body") == F.col("top.body")))
+    return out.select("id", "body", "n", F.coalesce("top.doc", "doc").alias("first"), kept.alias("kept"))
 
 
 def _sets(size: int):
@@ -314,6 +331,17 @@ def _sets(size: int):
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without all but the first of each group of near copies, all columns unchanged."""
-    gone = near_copies(docs, size, percent, doc_id, text).where(~F.col("kept")).select(F.col(doc_id).alias("dup_id")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("dup_id")), "left_anti")
+    """The documents without all but the first of each group of near copies, all columns unchanged. Of rows that repeat id and text one stays."""
+    marked = written(_marked(docs, size, percent, doc_id, text), "marked")
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias("dup_id"), F.col("body").alias("dup_body"))
+
+    rows = docs.withColumn("dup_own", _body(text))
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("dup_id")) & (F.col("dup_own") == F.col("dup_body"))
+    rows = rows.join(keys(marked.where(~F.col("kept"))).distinct(), same, "left_anti")
+    again = written(keys(marked.where("kept AND n > 0")).groupBy("dup_id", "dup_body").count().where("count > 1").drop("count"), "again")
+    if not again.isEmpty():
+        once, often = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+        rows = once.unionByName(often.dropDuplicates([doc_id, "dup_own"]))
+    return rows.select(docs.columns)

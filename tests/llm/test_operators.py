@@ -129,6 +129,19 @@ def test_near_copies(spark, docs, empty, size):
     assert nearcopies.near_copies(empty, size).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    one, two, three = words(80, 31), words(80, 32), words(80, 33)
+    table = [(3, one), (5, one), (5, two), (7, two + " tail"), (8, three), (8, three), (8, three.upper()), (9, None), (9, None), (None, words(80, 34)), (None, words(80, 35))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, 1, "x") for i, t in table], SCHEMA).repartition(3)
+    kept = nearcopies.keep_one(docs, 5)
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == Counter({(3, one): 1, (5, two): 1, (8, three): 1, (9, ""): 2, (None, table[-2][1]): 1, (None, table[-1][1]): 1})
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in nearcopies.near_copies(docs, 5).collect() if r.doc_id in (3, 5, 7)) == Counter(
+        {(3, 3, True): 1, (5, 3, False): 1, (5, 5, True): 1, (7, 5, False): 1}
+    )
+
+
 def test_estimate_of_registers():
     r = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
