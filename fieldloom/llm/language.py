@@ -1,6 +1,6 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent, with calibrated rejection.
 
-The model is fitted on a sample of the labelled rows, at most ``fit_rows`` of each language, taken by a hash of the id, so reruns agree. Nine tenths are
+The model is fitted on a sample of the labelled rows, at most ``fit_rows`` of each language, taken by a hash of id and text, so reruns agree. Nine tenths are
 trained on; the rest set the temperature of the scores and the rejection threshold: the score under which at most ``reject_share`` of the rightly
 identified rows lie. Every text is scored whole.
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import subword
+from fieldloom.llm.common import parts_for
 
 UNKNOWN = "und"
 SHAPE = subword.Shape(buckets=1 << 14, dim=16, grams=(1, 2, 3), lower=True)
@@ -32,7 +33,7 @@ def has_letter(text: str | None) -> bool:
 def fit(
     docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column | None = None, by: str = "doc_id", fit_rows: int = 600, reject_share: float = 0.001
 ) -> subword.Model | None:
-    """The model, or None if no row can be learned from. Brings at most ``fit_rows`` rows of each language to the driver."""
+    """The model, or None if no row can be learned from. Brings at most ``fit_rows`` rows of each language, times the number of languages, to the driver."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if learn is not None:
         rows = rows.where(learn)
@@ -59,8 +60,8 @@ def fit(
 
 
 def sample_by_label(rows: DataFrame, per_label: int) -> list:
-    """Up to ``per_label`` rows of each label (columns label, text, id) by a hash of the id."""
-    ranked = rows.select("label", F.xxhash64(F.col("id").cast("string")).alias("at"), "id", "text")
+    """Up to ``per_label`` rows of each label (columns label, text, id) by a hash of id and text; no more than these reach the driver."""
+    ranked = rows.select("label", F.xxhash64(F.col("id").cast("string"), "text").alias("at"), "id", "text")
     counts = rows.groupBy("label").count().collect()  # one row a label
     wanted = None
     for r in counts:
@@ -70,10 +71,30 @@ def sample_by_label(rows: DataFrame, per_label: int) -> list:
         wanted = here if wanted is None else wanted | here
     if wanted is None:
         return []
-    taken: dict = {}
-    for row in sorted(ranked.where(wanted).collect(), key=lambda r: (r["at"], str(r["id"]), r["text"])):
-        taken.setdefault(row["label"], []).append(row)
-    return sorted((r for rows in taken.values() for r in rows[:per_label]), key=lambda r: (r["at"], str(r["id"]), r["text"]))
+    return sorted(first_of_label(ranked.where(wanted), per_label).collect(), key=_place)
+
+
+def _place(row) -> tuple:
+    return row["at"], str(row["id"]), row["text"] or ""
+
+
+def first_of_label(rows: DataFrame, per_label: int) -> DataFrame:
+    """The ``per_label`` first rows of each label (columns label, at, id, text and others) in the order of at, id and text. Rows that repeat id and text
+    pass a threshold together, so each partition is cut to its first rows, and then what is left of a label is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                mine = held.setdefault(row["label"], [])
+                mine.append(row)
+                if len(mine) >= 2 * per_label:
+                    held[row["label"]] = sorted(mine, key=_place)[:per_label]
+        for mine in held.values():
+            yield pa.RecordBatch.from_pylist(sorted(mine, key=_place)[:per_label], schema=batch.schema)
+
+    return rows.mapInArrow(run, rows.schema).repartition(parts_for(rows.sparkSession), "label").mapInArrow(run, rows.schema)
 
 
 def _identify(model: subword.Model | None, p: np.ndarray, texts: list) -> dict:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm import subword
-from fieldloom.llm.language import sample_by_label
+from fieldloom.llm.language import first_of_label, sample_by_label
 
 SHAPE = subword.Shape(buckets=1 << 15, dim=16, grams=(3, 4), lower=False)
 
@@ -25,13 +25,14 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_l
     """A bounded sample (label, text, id, lang) and the number of labelled rows of each label. Labels are thinned before the texts are joined to them."""
     marks = labels.where(learn & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    rows = sample_by_label(marks.select("label", F.col("doc_id").alias("id"), F.lit("").alias("text")), per_label)
+    rows = sample_by_label(marks.select("label", F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text")), per_label)
     if not rows:
         return [], counts
     wanted = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in rows], "id long, label int")  # bounded by per_label
     found = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["id"])
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = found.select("label", F.coalesce("text", F.lit("")).alias("text"), "id", lang.alias("lang")).collect()
+    found = found.select("label", F.xxhash64("id", "text").alias("at"), "id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    found = first_of_label(found, per_label).collect()  # an id may have many texts
     return sorted(found, key=lambda r: (r["label"], str(r["id"]), r["text"])), counts
 
 

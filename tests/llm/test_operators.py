@@ -349,6 +349,27 @@ def test_classifiers(spark, docs, empty):
     assert language.fit(empty) is None and language.identify(docs, None).where("lang_pred = 'und'").count() == docs.count()
 
 
+def test_samples_are_cut_before_the_driver(spark, monkeypatch):
+    """Rows without an id, or with one id, do not come to the driver together."""
+    text = [(None if i % 2 else 7, words(12, i), ("en", "de")[i % 4 // 2], "s", None, 1, "x") for i in range(1200)]
+    docs = spark.createDataFrame(text, SCHEMA).repartition(5)
+    marks = spark.createDataFrame([(7, 1), (8, 0)], "doc_id bigint, quality int")
+    kind, seen = type(docs), []
+    plain = kind.collect
+
+    def counted(self):
+        seen.append(plain(self))
+        return seen[-1]
+
+    monkeypatch.setattr(kind, "collect", counted)
+    sample = language.sample_by_label(docs.select(F.col("lang").alias("label"), "text", F.col("doc_id").alias("id")), 20)
+    assert Counter(r["label"] for r in sample) == {"en": 20, "de": 20}
+    assert {r["id"] for r in sample} == {None, 7}
+    found, _ = quality.sampled(docs, marks, "quality", F.lit(True), 20)
+    assert len(found) == 20 and {r["id"] for r in found} == {7}
+    assert max(map(len, seen)) <= 40
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
