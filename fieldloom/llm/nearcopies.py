@@ -6,10 +6,11 @@ hash the number of leading zeros and 10 bits of mantissa. Equal sets are one cla
 1. Bands of four registers are hashed; classes that share a band are candidates. A bucket is split into blocks of about a thousand members, and pairs of
    blocks are compared, so no group is gathered whole. Pairs must pass a bound on the set sizes and an estimate, freed of the expected chance collisions,
    of no less than five standard deviations under the threshold.
-2. A first round verifies, for every member of a bucket, its likeliest earlier partner; that is a forest, not all pairs. The links found are joined to
+2. A first round verifies, for every member of a bucket, its likeliest earlier partner; that is a forest for each pair of blocks, not all pairs. The links found are joined to
    components. A second round looks again only at buckets that had further pairs and members of different components; the full sets come along, and what
-   lies in different components is verified there and then. After it every pair that passed has been verified or lies within one component, and no round
-   has sent more rows than its buckets have members.
+   lies in different components is verified there and then. After it every pair that passed has been verified or lies within one component. A round
+   sends each member of a bucket once for each block of it: m rows for a bucket within one block, about m * m / 1,024 for a larger one of m members, whose
+   m * m / 2 pairs of registers are all compared. In the second round each of these rows carries its full set. Exact copies are one class and do not count.
 3. Verification counts the common members of the full sets.
 
 With 32 bands a pair at the threshold of 0.8 shares none with probability (1 - 0.8**4)**32 = 5e-8; closer pairs even less often.
