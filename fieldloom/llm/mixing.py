@@ -4,7 +4,9 @@ Every document gets an exponential key ``-ln(u) / quality``; the smallest keys o
 epochs, then on documents in key order until the words run out; the document at the edge is taken in part, so the budget is met to the word.
 
 No source is sorted as a whole. Keys are cut into 1,024 steps, the steps' sums say which of them holds the edge, that step is cut into 1,024 again, and
-only the rows of the last step (about a millionth of a source) are ordered. All other rows see their step only, without a shuffle of their own.
+only the rows of the last step are ordered, in one task a source. Steps are even for quality 1, where one holds about a millionth of a source. Lower quality
+moves keys to the last steps: the very last one holds a share exp(-13.86 * quality) of the documents, a quarter of those of quality 0.1, and all of it is
+ordered if the budget ends there. All other rows see their step only, without a shuffle of their own.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, the last one; rows that repeat an id and size
 share what they get equally, in whole words; an empty table gives an empty result; sources without words get target 0. Extra columns are kept, names
