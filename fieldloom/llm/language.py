@@ -5,7 +5,7 @@ trained on; the rest set the temperature of the scores and the rejection thresho
 identified rows lie. Every text is scored whole.
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0 and is rejected; rows without a language teach nothing; without any labelled
-row all texts are ``und``; repeated rows score alike; an empty table gives an empty result; extra columns are kept by ``keep_identified``.
+row all texts are ``und``; with fewer than 50 rows in the sample none is held back, so scores have no temperature and nothing that has a letter is rejected; repeated rows score alike; an empty table gives an empty result; extra columns are kept by ``keep_identified``.
 """
 
 from __future__ import annotations

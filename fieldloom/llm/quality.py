@@ -5,7 +5,8 @@ labelled rows are put back by a shift of the bias, as the sample holds the class
 label 1. Case is kept: shouting and mixed-in symbols are signs of poor text.
 
 Defined cases: a null or empty text has a zero vector and so gets the score of the bias; rows without label teach nothing; without both labels every score
-is the label's share (0.5 without any); several labels of one document count as their largest; an empty table gives an empty result.
+is the label's share (0.5 without any); several labels of one document count as their largest; with fewer than 100 rows in
+the sample none is held back and scores have no temperature; an empty table gives an empty result.
 """
 
 from __future__ import annotations
