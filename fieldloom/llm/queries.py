@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import decontaminate, fingerprints, language, mixing, nearcopies, packing, quality, substrings, suffixes, toxicity
+from fieldloom.llm import decontaminate, dialogues, filters, fingerprints, language, mixing, nearcopies, packing, pieces, quality, substrings, suffixes, toxicity
 from fieldloom.llm.common import fold, words, written
 from fieldloom.llm.sql import SQL
 
@@ -82,6 +82,36 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    written_ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(written_ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    plan, repaired = dialogues.repair(dialogues.damaged(turns))
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    found = ids.join(plan, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    digest = dialogues.digests(repaired)
+    found = found.join(digest, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    totals = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(F.col("id").alias("conv_id"), *totals, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", none).alias("repaired_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_tokens": op1_pack_tokens,
     "op2_near_copies": op2_near_copies,
@@ -93,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_fingerprints": op9_fingerprints,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_piece_ids": op11_piece_ids,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 ORACLES: dict[str, str] = {name: text for name, text in SQL.items() if name in QUERIES}
