@@ -1,49 +1,12 @@
-"""Normalised associated Legendre functions on a latitude axis, made row by row in Spark."""
+"""Normalised associated Legendre functions on a latitude axis, as numpy arrays."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-
-
-def _column(m: int, top: int, mu: float, cosine: float, seed_power: int) -> np.ndarray:
-    """P(l, m), l = m..top, with integral of P^2 over mu equal to one; divided by cosine**(m - seed_power)."""
-    out = np.zeros(top - m + 1)
-    log_norm = 0.5 * (math.log(0.5) + sum(math.log((2 * i + 1) / (2 * i)) for i in range(1, m + 1)))
-    out[0] = math.exp(log_norm) * cosine**seed_power
-    for l in range(m + 1, top + 1):
-        a = math.sqrt((4 * l * l - 1) / (l * l - m * m))
-        before = 0.0
-        if l > m + 1:
-            before = math.sqrt(((l - 1) ** 2 - m * m) / (4 * (l - 1) ** 2 - 1)) * out[l - m - 2]
-        out[l - m] = a * (mu * out[l - m - 1] - before)
-    return out
-
-
-def _rows(index: int, lat: float, weight: float, truncation: int) -> pd.DataFrame:
-    mu, cosine = math.sin(math.radians(lat)), max(math.cos(math.radians(lat)), 0.0)
-    columns = [_column(m, truncation + 1, mu, cosine, m) for m in range(truncation + 2)]
-    parts = []
-    for m in range(truncation + 1):
-        l = np.arange(m, truncation + 1)
-        p = columns[m][: l.size]
-        over = m * _column(m, truncation, mu, cosine, m - 1) if m else np.zeros(l.size)
-        upper = np.zeros(l.size)
-        upper[1:] = columns[m + 1][: l.size - 1]
-        if m == 0:
-            slope = np.sqrt(l * (l + 1.0)) * upper
-        else:
-            lower = columns[m - 1][1 : l.size + 1]
-            slope = 0.5 * (np.sqrt((l - m) * (l + m + 1.0)) * upper - np.sqrt((l + m) * (l - m + 1.0)) * lower)
-        parts.append(pd.DataFrame({"l": l, "m": m, "p": p, "mp_cos": over, "dp": slope}))
-    out = pd.concat(parts, ignore_index=True)
-    out.insert(0, "lat_idx", index)
-    out["w"] = weight
-    return out.astype({"lat_idx": "int32", "l": "int32", "m": "int32"})
 
 
 def quadrature_weight(index: int, intervals: int) -> float:
@@ -58,19 +21,48 @@ def quadrature_weight(index: int, intervals: int) -> float:
     return c / intervals * (1.0 - total)
 
 
-def legendre_table(spark: SparkSession, n_lat: int, truncation: int) -> DataFrame:
-    """``(lat_idx, l, m, p, mp_cos, dp, w)`` for latitudes from -90 to 90.
+def _column(m: int, top: int, mu: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """P(l, m), l = m..top, a row per l, with integral of P^2 over mu equal to one; ``seed`` is the power of the cosine that begins it."""
+    out = np.zeros((top - m + 1, mu.size))
+    log_norm = 0.5 * (math.log(0.5) + sum(math.log((2 * i + 1) / (2 * i)) for i in range(1, m + 1)))
+    out[0] = math.exp(log_norm) * seed
+    for l in range(m + 1, top + 1):
+        a = math.sqrt((4 * l * l - 1) / (l * l - m * m))
+        before = 0.0
+        if l > m + 1:
+            before = math.sqrt(((l - 1) ** 2 - m * m) / (4 * (l - 1) ** 2 - 1)) * out[l - m - 2]
+        out[l - m] = a * (mu * out[l - m - 1] - before)
+    return out
+
+
+@dataclass(frozen=True)
+class Legendre:
+    """For every order m a matrix (l = m..truncation, latitude): ``p``, ``over`` (m P / cos(lat), its limit at the poles) and ``slope`` (of P in
+    latitude); ``weight`` is the quadrature weight of each latitude."""
 
-    ``mp_cos`` is m P / cos(lat) with its limit at the poles, ``dp`` the slope of
-    P in latitude and ``w`` the quadrature weight. Each latitude is a Spark row
-    that expands in its own task.
-    """
+    p: tuple[np.ndarray, ...]
+    over: tuple[np.ndarray, ...]
+    slope: tuple[np.ndarray, ...]
+    weight: np.ndarray
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for index in batch["id"]:
-                lat = -90.0 + 180.0 * index / (n_lat - 1)
-                yield _rows(int(index), lat, quadrature_weight(int(index), n_lat - 1), truncation)
 
-    schema = "lat_idx int, l int, m int, p double, mp_cos double, dp double, w double"
-    return spark.range(n_lat).mapInPandas(expand, schema)
+@lru_cache(maxsize=4)
+def legendre(n_lat: int, truncation: int) -> Legendre:
+    """The functions on ``n_lat`` latitudes from -90 to 90, made once in a process: 24 bytes per latitude, l and m."""
+    lat = np.radians(-90.0 + 180.0 * np.arange(n_lat) / (n_lat - 1))
+    mu, cosine = np.sin(lat), np.maximum(np.cos(lat), 0.0)
+    columns = [_column(m, truncation + 1, mu, cosine**m) for m in range(truncation + 2)]
+    p, over, slope = [], [], []
+    for m in range(truncation + 1):
+        l = np.arange(m, truncation + 1)[:, None]
+        p.append(columns[m][: l.size])
+        over.append(m * _column(m, truncation, mu, cosine ** (m - 1)) if m else np.zeros_like(p[0]))
+        upper = np.zeros_like(p[m])
+        upper[1:] = columns[m + 1][: l.size - 1]
+        if m == 0:
+            slope.append(np.sqrt(l * (l + 1.0)) * upper)
+        else:
+            lower = columns[m - 1][1 : l.size + 1]
+            slope.append(0.5 * (np.sqrt((l - m) * (l + m + 1.0)) * upper - np.sqrt((l + m) * (l - m + 1.0)) * lower))
+    weight = np.array([quadrature_weight(i, n_lat - 1) for i in range(n_lat)])
+    return Legendre(tuple(p), tuple(over), tuple(slope), weight)

@@ -1,22 +1,23 @@
 """Fourier analysis along latitude circles.
 
-Coefficients are plain sums, so one aggregation by latitude circle (with map-side
-partial sums) yields every wavenumber, and every inverse transform, envelope,
-amplitude and phase then works inside that partitioning without a further shuffle.
+Whole spectra and bands come from a fast Fourier transform of circles that one
+shuffle has gathered into rows. Amplitudes and phases of single wavenumbers are
+plain sums by circle, with map-side partial sums, and work inside that
+partitioning without a further shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CIRCLE = ("time", "lat")
+from fieldloom.operators.circles import gather, transform
 
-# Up to this many wavenumbers are separate aggregates; beyond it they become rows.
-WIDE_LIMIT = 24
+CIRCLE = ("time", "lat")
 
 
 def _angle(k: Column | int, lon: Column | str, start: float) -> Column:
@@ -56,16 +57,17 @@ def zonal_dft(
     ``start`` the first one.
     """
     ks = sorted(set(ks))
-    if len(ks) <= WIDE_LIMIT:
-        wide = _wide_coefficients(df, ks, n_lon, by, value, lon, start)
-        rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"re_{k}").alias("re"), F.col(f"im_{k}").alias("im")) for k in ks])
-        return wide.select(*by, F.inline(rows))
-    waves = df.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    angle, full = _angle(F.col("k"), lon, start), _complete(value, n_lon)
-    return waves.groupBy(*by, "k").agg(
-        F.when(full, F.sum(F.col(value) * F.cos(angle))).alias("re"),
-        F.when(full, -F.sum(F.col(value) * F.sin(angle))).alias("im"),
-    )
+    folded = np.array([k % n_lon for k in ks], int)
+    mirrored = 2 * folded > n_lon
+    folded = np.where(mirrored, n_lon - folded, folded)
+
+    def spectrum(matrices: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found = np.fft.rfft(matrices[0], axis=1)[:, folded]
+        return found.real, np.where(mirrored, -found.imag, found.imag)
+
+    lists = transform(gather(df, by, [value], lon), 1, n_lon, start, ["re", "im"], spectrum)
+    waves = lists.withColumn("k", F.array(*[F.lit(k) for k in ks]))
+    return waves.select(*by, F.inline(F.arrays_zip("k", "re", "im")))
 
 
 def _band(n_lon: int, low: int | None, high: int | None) -> list[int]:
@@ -106,6 +108,39 @@ def _circle(n_lon: int, start: float) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_lon - 1)), lambda j: F.lit(float(start)) + j * F.lit(step))
 
 
+def _filtered(
+    df: DataFrame,
+    low: int | None,
+    high: int | None,
+    n_lon: int,
+    exclude: str | None,
+    by: Sequence[str],
+    value: str,
+    lon: str,
+    start: float,
+    outputs: dict[str, Callable[[np.ndarray], np.ndarray]],
+) -> DataFrame:
+    """``(by..., outputs...)``: array columns made of the complex inverse transform of a wavenumber band."""
+    if exclude not in ("positive", "negative", None):
+        raise ValueError("exclude is 'positive', 'negative' or None")
+    plus, minus = np.zeros(n_lon), np.zeros(n_lon)
+    for k in _band(n_lon, low, high):
+        plus[k], minus[k] = _weights(n_lon, k, exclude)
+    weight = plus + np.roll(minus[::-1], 1)  # a negative wavenumber -k lies at n_lon - k
+
+    def inverse(matrices: list[np.ndarray]) -> list[np.ndarray]:
+        found = np.fft.ifft(np.fft.fft(matrices[0], axis=1) * weight, axis=1)
+        return [make(found) for make in outputs.values()]
+
+    return transform(gather(df, by, [value], lon), 1, n_lon, start, list(outputs), inverse)
+
+
+def _cells(lists: DataFrame, by: Sequence[str], names: Sequence[str], n_lon: int, lon: str, start: float) -> DataFrame:
+    """A row per longitude of the array columns ``names``."""
+    axis = lists.withColumn("_lon", _circle(n_lon, start))
+    return axis.select(*by, F.inline(F.arrays_zip("_lon", *names))).withColumnRenamed("_lon", lon)
+
+
 def band_filter(
     df: DataFrame,
     low: int | None,
@@ -118,35 +153,42 @@ def band_filter(
     start: float = 0.0,
 ) -> DataFrame:
     """Inverse transform of a wavenumber band: ``(by..., lon, real, imag)``."""
-    if exclude not in ("positive", "negative", None):
-        raise ValueError("exclude is 'positive', 'negative' or None")
-    ks = _band(n_lon, low, high)
-    wide = _wide_coefficients(df, ks, n_lon, by, value, lon, start)
-    cells = wide.withColumn(lon, F.explode(_circle(n_lon, start)))
-    real, imag = _synthesis(F.col(lon), ks, n_lon, exclude, start)
-    return cells.select(*by, lon, real.alias("real"), imag.alias("imag"))
+    parts = {"real": lambda z: z.real, "imag": lambda z: z.imag}
+    lists = _filtered(df, low, high, n_lon, exclude, by, value, lon, start, parts)
+    return _cells(lists, by, list(parts), n_lon, lon, start)
 
 
-def inverse_filtered(df: DataFrame, low, high, n_lon: int, **options) -> DataFrame:
+def inverse_filtered(
+    df: DataFrame, low, high, n_lon: int, by: Sequence[str] = CIRCLE, value: str = "value", lon: str = "lon", start: float = 0.0
+) -> DataFrame:
     """Real signal of the band: ``(by..., lon, value)``."""
-    out = options.get("value", "value")
-    return band_filter(df, low, high, n_lon, None, **options).withColumnRenamed("real", out).drop("imag")
+    lists = _filtered(df, low, high, n_lon, None, by, value, lon, start, {value: lambda z: z.real})
+    return _cells(lists, by, [value], n_lon, lon, start)
 
 
 # The real signal of a band is also known by this name.
 hilbert = inverse_filtered
 
 
-def wave_envelope(df: DataFrame, low, high, n_lon: int, **options) -> DataFrame:
+def _envelope(z: np.ndarray) -> np.ndarray:
+    return 2.0 * np.abs(z)
+
+
+def wave_envelope(
+    df: DataFrame, low, high, n_lon: int, by: Sequence[str] = CIRCLE, value: str = "value", lon: str = "lon", start: float = 0.0
+) -> DataFrame:
     """Twice the modulus of the positive half of the band: ``(by..., lon, value)``."""
-    out = options.get("value", "value")
-    half = band_filter(df, low, high, n_lon, "negative", **options)
-    modulus = 2.0 * F.sqrt(F.col("real") * F.col("real") + F.col("imag") * F.col("imag"))
-    return half.withColumn(out, modulus).drop("real", "imag")
+    lists = _filtered(df, low, high, n_lon, "negative", by, value, lon, start, {value: _envelope})
+    return _cells(lists, by, [value], n_lon, lon, start)
 
 
-def envelope_max(df: DataFrame, low, high, n_lon: int, by: Sequence[str] = CIRCLE, value: str = "value", **options) -> DataFrame:
-    return wave_envelope(df, low, high, n_lon, by=by, value=value, **options).groupBy(*by).agg(F.max(value).alias("env_max"))
+def envelope_max(
+    df: DataFrame, low, high, n_lon: int, by: Sequence[str] = CIRCLE, value: str = "value", lon: str = "lon", start: float = 0.0
+) -> DataFrame:
+    """Largest envelope of each circle: ``(by..., env_max)``."""
+    largest = {"env_max": lambda z: _envelope(z).max(1, keepdims=True)}
+    lists = _filtered(df, low, high, n_lon, "negative", by, value, lon, start, largest)
+    return lists.withColumn("env_max", F.get("env_max", F.lit(0)))
 
 
 def wave_coefficients(

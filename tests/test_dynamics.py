@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.legendre import legendre_table
+from fieldloom.functions.legendre import legendre
 from fieldloom.functions.scalars import EARTH_RADIUS, EARTH_ROTATION
 from fieldloom.operators import align, eof, rotation
 from fieldloom.operators.wind import SphericalWind, global_grid_check
@@ -24,22 +24,17 @@ def solid(spark):
     return spark.createDataFrame(grid(LATS, LONS, u=lambda p, x: 20 * np.cos(p) + 0 * x, v=lambda p, x: 0 * p))
 
 
-def test_legendre_functions_are_orthonormal(spark):
-    table = legendre_table(spark, 25, 10).toPandas()
-    for m, part in table.groupby("m"):
-        p = part.pivot(index="lat_idx", columns="l", values="p").to_numpy()
-        w = part.drop_duplicates("lat_idx").sort_values("lat_idx").w.to_numpy()
-        assert np.allclose(p.T @ (w[:, None] * p), np.eye(p.shape[1]), atol=1e-12)
-    assert table.drop_duplicates("lat_idx").w.sum() == pytest.approx(2)
+def test_legendre_functions_are_orthonormal():
+    table = legendre(25, 10)
+    for p in table.p:
+        assert np.allclose((p * table.weight) @ p.T, np.eye(len(p)), atol=1e-12)
+    assert table.weight.sum() == pytest.approx(2)
 
 
-def test_legendre_slope_by_differences(spark):
-    table = legendre_table(spark, 7201, 4).where("lat_idx between 3000 and 3010").toPandas()
-    step = np.radians(180 / 7200)
-    for _, part in table.groupby(["l", "m"]):
-        part = part.sort_values("lat_idx")
-        p, dp = part.p.to_numpy(), part.dp.to_numpy()
-        assert np.allclose((p[2:] - p[:-2]) / (2 * step), dp[1:-1], atol=1e-5)
+def test_legendre_slope_by_differences():
+    table, step = legendre(7201, 4), np.radians(180 / 7200)
+    for p, slope in zip(table.p, table.slope):
+        assert np.allclose((p[:, 3002:3011] - p[:, 3000:3009]) / (2 * step), slope[:, 3001:3010], atol=1e-5)
 
 
 def test_solid_rotation(spark):
@@ -56,17 +51,26 @@ def test_solid_rotation(spark):
     assert np.allclose(eta.avrtgrad, want, atol=1e-12)
 
 
-def test_long_wavenumber_form_agrees(spark, monkeypatch):
-    from fieldloom.operators import wind
-
-    df = spark.createDataFrame(
-        grid(LATS, LONS, u=lambda p, x: np.cos(p) * np.cos(2 * x), v=lambda p, x: np.cos(p) ** 2 * np.sin(x))
+def test_wind_coefficients_and_incomplete_steps(spark):
+    """A streamfunction cos(lat)^2 sin(lat) cos(2 lon) has its vorticity at l = 3, m = 2 alone; a step with a missing cell has nulls."""
+    r = EARTH_RADIUS
+    rows = grid(
+        LATS, LONS, u=lambda p, x: -np.cos(2 * x) * (np.cos(p) ** 3 - 2 * np.cos(p) * np.sin(p) ** 2), v=lambda p, x: -2 * np.cos(p) * np.sin(p) * np.sin(2 * x)
     )
-    wide = SphericalWind(df, 13, 24).vorticity().toPandas().sort_values(["lat", "lon"])
-    monkeypatch.setattr(wind, "WIDE_LIMIT", 1)
-    monkeypatch.setattr(wind, "LEGENDRE_BROADCAST_ROWS", 1)
-    long = SphericalWind(df, 13, 24).vorticity().toPandas().sort_values(["lat", "lon"])
-    assert np.allclose(wide.vrt, long.vrt, atol=1e-18)
+    holed = rows.assign(time=1).drop(index=5)
+    twice = pd.concat([rows.assign(time=2), rows.assign(time=2).iloc[:1]])
+    df = spark.createDataFrame(pd.concat([rows, holed, twice])).repartition(4)
+    w = SphericalWind(df, 13, 24)
+    c = w.coefficients().toPandas()
+    assert c[c.time > 0].z_re.isna().all() and len(c) == 3 * 28
+    c = c[c.time == 0].set_index(["l", "m"])
+    assert abs(c.loc[(3, 2), "z_re"]) * r > 1 and np.allclose(c.drop((3, 2)).z_re * r, 0, atol=1e-12) and np.allclose(c.d_re * r, 0, atol=1e-12)
+    vrt = w.vorticity().toPandas()
+    assert len(vrt) == 3 * 13 * 24 and vrt[vrt.time > 0].vrt.isna().all()
+    one = vrt[vrt.time == 0]
+    p, x = np.radians(one.lat), np.radians(one.lon)
+    assert np.allclose(one.vrt, -12 / r * np.cos(p) ** 2 * np.sin(p) * np.cos(2 * x), atol=1e-18)
+    assert SphericalWind(df.limit(0), 13, 24).vorticity().count() == 0
 
 
 def test_grid_check(spark):

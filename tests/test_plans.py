@@ -60,7 +60,17 @@ def test_fourier_family_needs_one_shuffle(spark, stored):
 
 def test_wind_needs_two_shuffles(spark, stored):
     wind = scan_field(spark, stored, "tas").withColumnRenamed("value", "u").withColumn("v", F.col("u") / 2)
-    assert exchanges(SphericalWind(wind, 19, 36).vorticity()) == 2
+    for n_lat, n_lon in ((19, 36), (241, 480)):
+        made = SphericalWind(wind, n_lat, n_lon)
+        assert exchanges(made.vorticity()) == exchanges(made.rossby_wave_source()) == exchanges(made.coefficients()) == 2
+        assert "Join" not in plan(made.rossby_wave_source()) and "Generate" not in plan(made.coefficients())
+
+
+def test_whole_spectra_need_one_shuffle(spark, stored):
+    field = scan_field(spark, stored, "tas")
+    for df in (spectral.zonal_dft(field, range(241), 480), spectral.band_filter(field, 1, 239, 480), spectral.wave_envelope(field, 1, 239, 480)):
+        assert exchanges(df) == 1
+    assert exchanges(spectral.spectrum_power(field, 480)) == 1
 
 
 def test_regions_are_one_pass(spark, stored):

@@ -46,15 +46,26 @@ def test_band_filter(spark, low, high, exclude):
         assert np.allclose(got.imag, want.imag, atol=1e-12)
 
 
-def test_wide_and_long_coefficients_agree(spark, monkeypatch):
+def test_whole_and_mirrored_spectrum(spark):
     data = np.random.default_rng(1).normal(size=(2, N))
-    df = circles(spark, data)
-    wide = ordered(spectral.zonal_dft(df, range(13), N), "time", "k")
-    monkeypatch.setattr(spectral, "WIDE_LIMIT", 3)
-    long = ordered(spectral.zonal_dft(df, range(13), N), "time", "k")
-    want = np.fft.fft(data)[:, :13].ravel()
-    for got in (wide, long):
-        assert np.allclose(got.re + 1j * got.im, want, atol=1e-12)
+    df = circles(spark, data).repartition(5)
+    got = ordered(spectral.zonal_dft(df, range(-3, N), N), "time", "k")
+    want = np.concatenate([x[np.arange(-3, N) % N] for x in np.fft.fft(data)])
+    assert np.allclose(got.re + 1j * got.im, want, atol=1e-12)
+    moved = spectral.zonal_dft(df.withColumn("lon", F.col("lon") + 5.0), range(4), N, start=5.0)
+    assert np.allclose(ordered(moved, "time", "k").re, np.fft.fft(data)[:, :4].ravel().real)
+
+
+def test_circles_off_the_axis_are_incomplete(spark):
+    df = circles(spark, np.ones((4, N)))
+    shifted = df.where("time = 0").withColumn("lon", F.when(F.col("lon") == 0, 1.0).otherwise(F.col("lon")))
+    doubled = df.where("time = 1 and lon != 0").union(df.where("time = 1 and lon = 15"))
+    nulls = df.where("time = 2").withColumn("value", F.when(F.col("lon") != 30, F.col("value")))
+    full = shifted.union(doubled).union(nulls).union(df.where("time = 3").withColumn("lon", F.col("lon") - 360))
+    got = {r.time: r.env_max for r in spectral.envelope_max(full, 0, 3, N).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: pytest.approx(2.0)}
+    assert spectral.inverse_filtered(full, 0, 3, N).where("value is null").count() == 3 * N
+    assert spectral.zonal_dft(df.limit(0), range(3), N).count() == 0
 
 
 def test_envelope_is_above_the_signal(spark):
