@@ -18,6 +18,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -31,7 +32,42 @@ NEVER = np.iinfo(np.int64).max
 #: Code points lie above the ids in the numbers of symbols that are no piece.
 CHARS = 0x110000
 #: Symbols of a word from which on a heap merges it; words kept in the store of a task; characters of texts that are merged together.
-LONG, STORE, BATCH = 4_096, 1 << 18, 4 << 20
+LONG, STORE, BATCH = 4_096, 1 << 19, 2 << 20
+
+
+class Table:
+    """Whole numbers to whole numbers (-1 where unknown), looked up many at once: open addressing in a sparse array."""
+
+    def __init__(self, given: dict[int, int]):
+        size = 1 << max(10, (16 * len(given)).bit_length())
+        self.shift, self.mask = 64 - size.bit_length() + 1, size - 1
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        keys, values = np.array([*given], np.int64), np.array([*given.values()], np.int64)
+        at = self._at(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            placed = free[first]
+            self.keys[at[placed]], self.values[at[placed]] = keys[placed], values[placed]
+            rest = np.ones(len(keys), bool)
+            rest[placed] = False
+            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & self.mask
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
 
 
 class Pieces:
@@ -72,10 +108,10 @@ class Pieces:
                 a, b = symbol(p[:k]), symbol(p[k:])
                 if a is not None and b is not None:
                     pairs[a * (self.n + CHARS) + b] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
-        self.rank = np.array([rank[i] for i in self.merged.tolist()], np.int64)
-        self.near = np.array(sorted(ord(a) * CHARS + ord(b) for a, b in near), np.int64)
+        self.pairs = Table(pairs)
+        self.rank = np.full(self.n + 1, NEVER)  # the last stands for no piece
+        self.rank[[*rank]] = [*rank.values()]
+        self.near = Table({ord(a) * CHARS + ord(b): 1 for a, b in near})
         self.splits = not any(a != SPACE and b == SPACE for a, b in near)
         self.surface = [b"" if i in self.silent else " ⁇ ".encode() if i == self.unknown else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
         for byte, i in self.byte_id.items():
@@ -83,22 +119,17 @@ class Pieces:
         self.bytes_ids = frozenset(self.byte_id.values())
         self.begins = frozenset(i for p, i in normal.items() if p[0] == SPACE)
 
-    def found(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Index of each pair in the table, -1 where the two do not merge."""
-        key = a * (self.n + CHARS) + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that two neighbours merge to, -1 where they do not."""
+        return self.pairs[a * (self.n + CHARS) + b]
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        at = self.found(a, b)
-        return np.where(at >= 0, self.rank[at], NEVER)
+        return self.rank[self.joined(a, b)]
 
     def borders(self, codes: np.ndarray) -> np.ndarray:
         """Marks the characters at which no piece can reach back to the character before."""
-        key = codes[:-1] * CHARS + codes[1:]
-        at = np.minimum(np.searchsorted(self.near, key), len(self.near) - 1)
         out = np.ones(len(codes), bool)
-        out[1:] = self.near[at] != key
+        out[1:] = self.near[codes[:-1] * CHARS + codes[1:]] < 0
         return out
 
     def words(self, text: str) -> list[str]:
@@ -128,7 +159,7 @@ class Pieces:
             hit = np.flatnonzero(rank == least)
             chain = np.concatenate([[True], np.diff(hit) != 1])
             hit = hit[(np.arange(len(hit)) - np.flatnonzero(chain)[np.cumsum(chain) - 1]) % 2 == 0]
-            new = self.merged[self.found(symbols[hit], symbols[hit + 1])]
+            new = self.joined(symbols[hit], symbols[hit + 1])
             # up to the first whose new neighbours would merge before the next place
             left, right = symbols[np.maximum(hit - 1, 0)].copy(), symbols[np.minimum(hit + 2, len(symbols) - 1)]
             close = np.flatnonzero(np.diff(hit) == 2) + 1
@@ -179,7 +210,7 @@ class Pieces:
             j = after[i]
             if symbols[i] != a or j < 0 or symbols[j] != b:
                 continue
-            symbols[i] = int(self.merged[self.found(np.array([a]), np.array([b]))[0]])
+            symbols[i] = int(self.joined(np.array([a]), np.array([b]))[0])
             symbols[j] = -1
             after[i] = after[j]
             if after[j] >= 0:
@@ -236,6 +267,10 @@ class Pieces:
         except UnicodeDecodeError:
             return self._spelled(ids)
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """Texts of runs of ids."""
+        return pa.array([self.decode(ids[e - n : e].tolist()) for e, n in zip(ends.tolist(), sizes.tolist())], pa.string())
+
     def _spelled(self, ids: list[int]) -> str:
         out, held, start = [], bytearray(), True
         for i in [*ids, None]:
@@ -301,10 +336,10 @@ class Store:
         if len(self.known) > self.most:
             self._clear()
         known = self.known
-        fresh = [w for w in {w for words in split for w in words} if w not in known]
+        fresh = list(set(chain.from_iterable(split)).difference(known))
         if fresh:
             self._learn(fresh)
-        at = np.fromiter((i for words in split for i in (*map(known.__getitem__, words), 0)), np.int64)
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable([*words, ""] for words in split)), np.int64)
         sizes = self.sizes[at]
         begin = np.cumsum(sizes) - sizes
         ids = self.ids[np.repeat(self.starts[at] - begin, sizes) + np.arange(int(sizes.sum()))]
@@ -337,16 +372,21 @@ def model_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``: the piece ids of the whole text and the end id."""
+def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool = False) -> DataFrame:
+    """``docs`` with ``ids``: the piece ids of the whole text and the end id. ``round_trip`` puts the text that ``decode`` makes of them in the place of
+    the given text, in the same pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(loaded(model))
+        pieces = loaded(model)
+        store = Store(pieces)
         for batch in batches:
             for part in pieces_of(batch, BATCH, text):
                 ids, sizes = store.encode(part.column(text).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                yield _with(part, "ids", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
+                ends = np.cumsum(sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+                if round_trip:
+                    part = part.set_column(part.schema.get_field_index(text), text, pieces.decoded(ids, ends, sizes))
+                yield _with(part, "ids", lists)
 
     return docs.mapInArrow(run, _schema(docs, "ids", T.ArrayType(T.IntegerType())))
 
@@ -360,8 +400,7 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 lists = part.column(ids)
-                flat, sizes = lists.flatten().to_pylist(), lists.value_lengths().fill_null(0).to_pylist()
-                ends = np.cumsum(sizes).tolist()
-                yield _with(part, "decoded", pa.array([pieces.decode(flat[e - n : e]) for e, n in zip(ends, sizes)], pa.string()))
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                yield _with(part, "decoded", pieces.decoded(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes), sizes))
 
     return encoded.mapInArrow(run, _schema(encoded, "decoded", T.StringType()))

@@ -86,13 +86,13 @@ def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
-    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text"), model)
+    both = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, round_trip=True)
     written_ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(written_ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
