@@ -166,7 +166,40 @@ def _(spark, d):
 @query("eof_by_group", "group:s mode:i eigenvalue:4 var_exp:5")
 def _(spark, d):
     groups = eof.group_predicates(["sh", "shextropics30"], ["annual", "DJF"])
-    return eof.eof_by_group(views.field(spark, d), groups, 3)
+    return eof.eof_by_group(views.field(spark, d), groups, 3).modes
+
+
+# Parts of the field with two modes: what is left of it still has two, found from two-by-two covariances in the SQL.
+
+
+def _grouped(spark, d):
+    lat, month = F.col("lat"), F.month("time")
+    groups = {"all": F.lit(True), "north": lat >= -15, "winter": month.isin(12, 1, 2), "north_summer": (lat >= 0) & month.between(6, 8)}
+    return eof.eof_by_group(views.rank_two(spark, d), groups, 2)
+
+
+@query("eof_group_modes", "part:s mode:i eigenvalue:4 var_exp:6 north_error:6 cells:i", 'SELECT part, mode, eig AS eigenvalue, eig / total AS var_exp, eig * sqrt(2.0 / nt) / total AS north_error, cells FROM part_modes')
+def _(spark, d):
+    return _grouped(spark, d).modes.withColumnRenamed("group", "part")
+
+
+@query("eof_group_patterns", "part:s mode:i lat lon loading:6", """
+    SELECT part, mode, lat, lon, turn * (y1 * p1 + y2 * p2) * w / norm AS loading FROM part_signs JOIN part_cells USING (part)""")
+def _(spark, d):
+    return eof.scale_patterns(_grouped(spark, d)).withColumnRenamed("group", "part")
+
+
+@query("eof_group_pcs", "part:s mode:i time:d pc:5", """
+    SELECT part, mode, time, turn * (c1 * (g11 * y1 + g12 * y2) + c2 * (g12 * y1 + g22 * y2)) / norm AS pc FROM part_signs JOIN part_times USING (part)""")
+def _(spark, d):
+    return eof.scale_pcs(_grouped(spark, d)).withColumnRenamed("group", "part")
+
+
+@query("eof_group_correlation", "part:s mode:i lat lon loading:5", """
+    SELECT part, mode, lat, lon, corr(turn * (c1 * (g11 * y1 + g12 * y2) + c2 * (g12 * y1 + g22 * y2)), a1 * p1 + a2 * p2) AS loading
+    FROM part_signs JOIN part_times USING (part) JOIN part_cells USING (part) GROUP BY ALL""")
+def _(spark, d):
+    return eof.scale_patterns(_grouped(spark, d), 3).withColumnRenamed("group", "part")
 
 
 @query("eof_field", "mode:i eigenvalue:4 var_exp:5")

@@ -161,4 +161,25 @@ VIEWS = {
         FROM mode_list CROSS JOIN patterns""",
     "mode_pcs": """
         SELECT mode, time, CASE WHEN src = 1 THEN a1 ELSE a2 END * sqrt(nn) AS pc, root FROM mode_list CROSS JOIN two_modes""",
+    # Parts of the two-mode field: cells and months of each, their inner products, and the eigenpairs of covariance times cell products.
+    "part_cells": """
+        SELECT part, lat, lon, p1, p2, w FROM patterns JOIN (VALUES ('all', -90), ('north', -15), ('winter', -90), ('north_summer', 0)) AS g(part, least) ON lat >= least""",
+    "part_times": """
+        SELECT part, time, a1, a2, a1 - avg(a1) OVER (PARTITION BY part) AS c1, a2 - avg(a2) OVER (PARTITION BY part) AS c2
+        FROM two_modes JOIN (VALUES ('all', [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]), ('north', [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]), ('winter', [12, 1, 2]),
+                             ('north_summer', [6, 7, 8])) AS g(part, months) ON list_contains(months, month(time))""",
+    "part_products": """
+        SELECT * FROM (SELECT part, sum(p1 * p1 * w * w) AS g11, sum(p1 * p2 * w * w) AS g12, sum(p2 * p2 * w * w) AS g22, count(*) AS cells FROM part_cells GROUP BY part)
+        JOIN (SELECT part, sum(c1 * c1) / (count(*) - 1) AS v11, sum(c1 * c2) / (count(*) - 1) AS v12, sum(c2 * c2) / (count(*) - 1) AS v22, count(*) AS nt
+              FROM part_times GROUP BY part) USING (part)""",
+    "part_modes": """
+        SELECT *, sqrt(y1 * y1 * g11 + 2 * y1 * y2 * g12 + y2 * y2 * g22) AS norm FROM (
+            SELECT *, CASE WHEN abs(eig - m22) >= abs(eig - m11) THEN eig - m22 ELSE m12 END AS y1, CASE WHEN abs(eig - m22) >= abs(eig - m11) THEN m21 ELSE eig - m11 END AS y2
+            FROM (SELECT *, m11 + m22 AS total, (m11 + m22) / 2 + (3 - 2 * mode) * sqrt(pow((m11 - m22) / 2, 2) + m12 * m21) AS eig FROM (
+                SELECT *, v11 * g11 + v12 * g12 AS m11, v11 * g12 + v12 * g22 AS m12, v12 * g11 + v22 * g12 AS m21, v12 * g12 + v22 * g22 AS m22 FROM part_products)
+                CROSS JOIN (VALUES (1), (2)) AS k(mode)))""",
+    "part_signs": """
+        SELECT m.*, turn FROM part_modes m JOIN (
+            SELECT part, mode, arg_max(sign(x), (round(abs(x), 12), -lat, -lon)) AS turn
+            FROM (SELECT part, mode, lat, lon, (y1 * p1 + y2 * p2) * w / norm AS x FROM part_modes JOIN part_cells USING (part)) GROUP BY ALL) USING (part, mode)""",
 }
