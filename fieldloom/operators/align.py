@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.grouping import GROUP_ROWS, attach, broadcast_if_small, group_stats
-from fieldloom.operators.ordered import scan_in_order
+from fieldloom.operators.ordered import even_buckets, scan_in_order
 
 
 def _dates(dates: DataFrame, date: str) -> DataFrame:
@@ -84,12 +84,13 @@ def asof_select(
     target: str = "target",
     value: str = "value",
     by: Sequence[str] = (),
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Value at the label nearest to, at or before (``pad``), or at or after (``backfill``) each target.
 
-    Labels and targets are merged into one ordered stream; on equal distance the
-    earlier label wins. Labels that occur twice count once, with the lowest value.
+    Labels and targets are merged into one ordered stream, cut at points that hold
+    about equally many rows, so a crowded day is many pieces; the last and first
+    labels of the pieces are carried across. On equal distance the earlier label
+    wins. Labels that occur twice count once, with the lowest value.
     """
     if method not in ("nearest", "pad", "backfill"):
         raise ValueError("method is nearest, pad or backfill")
@@ -98,10 +99,10 @@ def asof_select(
     labels = labels.select(*by, F.col(time).alias("_at"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")).alias("_label"))
     wanted = targets.select(*by, F.col(target).alias("_at")).distinct().withColumn("_target", F.lit(True))
     stream = labels.unionByName(wanted, allowMissingColumns=True)
-    bucket = F.date_trunc("DAY", F.col("_at")) if bucket is None else bucket
+    stream = even_buckets(stream, F.unix_micros(F.col("_at").cast("timestamp")))
     # Labels sort before targets at the same instant for pad and after them for backfill.
     earlier = stream.withColumn("_side", F.col("_target").isNotNull().cast("int"))
-    scanned = scan_in_order(earlier, ["_at", "_side"], by=by, bucket=bucket, carried={"_pad": "_label"}, carried_back={"_next": "_label"})
+    scanned = scan_in_order(earlier, ["_at", "_side"], by=by, bucket=F.col("_split"), carried={"_pad": "_label"}, carried_back={"_next": "_label"})
     hits = scanned.where("_target")
     exact = F.col("_pad.t") == F.col("_at")
     back = F.when(exact, F.col("_pad")).otherwise(F.col("_next"))
@@ -155,9 +156,18 @@ def event_number_join(df: DataFrame, events: DataFrame, time: str = "time", even
 
 
 def broadcast_dims(df: DataFrame, lower: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Repeat a lower-dimensional array along the dimensions it lacks."""
-    rows = group_stats(lower, list(on), *[F.first(c).alias(c) for c in lower.columns if c not in on])
-    return attach(df, rows.withColumn(GROUP_ROWS, F.lit(1)), list(on), how="inner")
+    """Repeat a lower-dimensional array along the dimensions it lacks.
+
+    The array has one row per key; a key that comes twice fails the job. How many
+    rows of ``df`` meet a key is counted, so that crowded keys do not move.
+    """
+    on = list(on)
+    names = [c for c in lower.columns if c not in on]
+    rows = lower.groupBy(*on).agg(*[F.min(c).alias(c) for c in names], F.count(F.lit(1)).alias("_copies"))
+    once = F.when(F.assert_true(F.col("_copies") == 1, F.lit("a key of the lower array comes twice")).isNull(), True)
+    meeting = df.groupBy(*on).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
+    sized = rows.where(once).drop("_copies").join(meeting, on, "inner")
+    return attach(df, sized, on, how="inner")
 
 
 def grid_pairs(lat_axis: DataFrame, lon_axis: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -25,7 +25,9 @@ CELL = ("lat", "lon")
 #: Cells of a partial product that travel as one row, and maps that are multiplied at once.
 BLOCK, TOGETHER = 4096, 64
 #: Residuals, against the largest eigenvalue, at which vectors count as found; passes after which the iteration gives up.
-TOLERANCE, PASSES = 1e-9, 300
+TOLERANCE, PASSES = 1e-8, 300
+#: Vectors of a pass beside the wanted modes, and how many passes' vectors the basis holds before it is restarted.
+BESIDE, HELD = 6, 5
 #: Groups of one run over the maps; more are done in several.
 GROUPS = 60
 
@@ -241,7 +243,7 @@ def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
 
 def _solve(maps: _Maps, parts: dict[int, Part], n_modes: int) -> None:
     """Finds the leading eigenpairs of every group together: block Lanczos on the residuals, restarted before the basis is too long."""
-    width = {g: min(n_modes + 3, len(p.cells)) for g, p in parts.items()}
+    width = {g: min(n_modes + BESIDE, len(p.cells)) for g, p in parts.items()}
     wanted = {g: min(n_modes, len(p.cells), max(1, p.times - 1)) for g, p in parts.items()}
     draw = np.random.default_rng(7)
     basis = {g: np.zeros((len(p.cells), 0)) for g, p in parts.items()}
@@ -275,7 +277,7 @@ def _solve(maps: _Maps, parts: dict[int, Part], n_modes: int) -> None:
             part.values, part.vectors = np.maximum(theta[:k], 0.0), ritz[:, :k]
             if np.linalg.norm(rest[:, :k], axis=0).max() <= TOLERANCE * max(theta[0], 1e-300) or basis[g].shape[1] >= len(part.cells):
                 continue
-            if basis[g].shape[1] >= 5 * width[g]:
+            if basis[g].shape[1] >= HELD * width[g]:
                 lead = turn[:, : 2 * width[g]]
                 basis[g], image[g] = basis[g] @ lead, image[g] @ lead
             block = _orthonormal(rest, basis[g])

@@ -2,27 +2,28 @@
 
 A window over ``(key)`` would buffer a whole group in one task. Here the
 statistic is an ordinary aggregation (combined before the shuffle) that is then
-joined to the rows. The few groups with very many rows get their statistics from
-a broadcast while their rows are spread over salts; all others meet theirs in a
+joined to the rows. The largest groups, a fixed number of them, have a branch of
+their own: their statistics are broadcast and their rows stay where they are.
+The rows of all other groups, each a small part of the table, meet theirs in a
 shuffled join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GROUP_ROWS = "_group_rows"
-SALT = "_salt"
+STATS = "_stats"
 
 # Tables over a grid or an axis are broadcast up to this many rows.
 BROADCAST_ROWS = 2_000_000
 
-# A group counts as hot above this many rows. N rows hold at most N / HOT_ROWS hot groups.
-HOT_ROWS = 5_000_000
-SALTS = 64
+# So many of the largest groups are met by broadcast; any other group has at most this share of the rows.
+HOT_GROUPS = 1_000
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,39 +39,32 @@ def group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias(GROUP_ROWS))
 
 
+def parted(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str, hot_groups: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that stay, already with their statistics in ``_stats``, and rows that are to be shuffled, without.
+
+    Rows with a NULL key belong to no group and stay as well.
+    """
+    keys = list(keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    largest = stats.where(known).orderBy(F.desc(F.col(STATS)[GROUP_ROWS])).limit(hot_groups)
+    met = df.join(F.broadcast(largest), keys, "left")  # at most hot_groups rows
+    found = F.col(STATS).isNotNull()
+    return met.where(found | ~known if how == "left" else found), met.where(~found & known).drop(STATS)
+
+
 def attach(
-    df: DataFrame,
-    stats: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-    few_keys: bool = False,
+    df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left", hot_groups: int = HOT_GROUPS, few_keys: bool = False
 ) -> DataFrame:
     """Join ``stats`` (one row per key, with ``GROUP_ROWS``) to ``df``, ``how`` left or inner.
 
-    The broadcast side is bounded: it holds groups of more than ``hot_rows`` rows.
-    The salt of a row mixes its content with its partition, so identical copies
-    spread as well and a retried task repeats the same salts. ``few_keys`` says
-    that the keys have a small fixed range, such as days of the year, so all
-    statistics are broadcast and the rows stay where they are.
+    ``few_keys`` says that the keys have a small fixed range, such as days of the
+    year, so all statistics are broadcast and no row moves.
     """
     keys = list(keys)
     if few_keys:
         return df.join(F.broadcast(stats.drop(GROUP_ROWS)), keys, how)
     names = [c for c in stats.columns if c not in keys and c != GROUP_ROWS]
-    hot = stats.where(F.col(GROUP_ROWS) > hot_rows).select(
-        *keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]
-    )
-    cold = stats.where(F.col(GROUP_ROWS) <= hot_rows).select(
-        *keys, F.lit(0).alias(SALT), F.lit(True).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names]
-    )
-    content = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys] or [F.lit(0)])
-    spread = (F.pmod(content + F.spark_partition_id(), F.lit(salts)) + 1).cast("int")
-    rows = df.join(F.broadcast(hot), keys, "left").withColumn(SALT, F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
-    joined = rows.join(cold, [*keys, SALT], "left")
-    if how == "inner":
-        joined = joined.where(F.col("_hot") | F.col("_cold"))
-    return joined.select(
-        *df.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in names]
-    )
+    held = stats.select(*keys, F.struct(*names, GROUP_ROWS).alias(STATS))  # one column, so that all branches read the same aggregation
+    near, far = parted(df, held, keys, how, hot_groups)
+    both = near.unionByName(far.join(held, keys, how))
+    return both.select(*df.columns, *[F.col(STATS)[c].alias(c) for c in names])

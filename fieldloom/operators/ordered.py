@@ -20,6 +20,24 @@ def month_bucket(time: str = "time") -> Column:
     return F.date_trunc("MONTH", F.col(time))
 
 
+#: Split points for each shuffle partition: tasks that get several even buckets by hash are nearly even.
+SPLITS_PER_PARTITION = 32
+
+
+def even_buckets(df: DataFrame, at: Column, out: str = "_split") -> DataFrame:
+    """``df`` with a bucket number that grows with ``at`` (a number) and holds about equally many rows, wherever the rows crowd.
+
+    The split points come from a mergeable sketch; rows of one instant share a bucket.
+    """
+    n = SPLITS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = df.agg(F.coalesce(F.percentile_approx(at, [i / n for i in range(1, n)], 10 * n), F.array().cast("array<bigint>")).alias("_points"))
+    levels = (n - 1).bit_length()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
+    # binary search: how many of the points lie at or before the row
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("_points", low + step - 1) <= at, low + step).otherwise(low))
+    return df.join(F.broadcast(points), F.lit(True), "inner").withColumn(out, found).drop("_points")  # one row
+
+
 def scan_in_order(
     df: DataFrame,
     order: Sequence[str] | str,

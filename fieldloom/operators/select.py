@@ -13,7 +13,6 @@ from fieldloom.functions.scalars import SEASON_MONTHS, adjust_lon, clamp, magnit
 from fieldloom.functions.scalars import unpack_scale_offset as unpack
 from fieldloom.operators.ordered import scan_in_order
 from fieldloom.operators.quantiles import exact_quantile
-from fieldloom.session import cut_lineage
 
 
 def region_box(df: DataFrame, region, lat: str = "lat", lon: str = "lon", wrap: bool = False) -> DataFrame:
@@ -129,8 +128,8 @@ def threshold_dates(
 ) -> DataFrame:
     """Times whose value is at or beyond the threshold.
 
-    A percentile reads the series several times, so time and value are
-    checkpointed first; what made the series then runs once.
+    A percentile reads the series several times; what made it is shuffled once,
+    as all readings share that exchange.
     """
     if direction not in ("greater", "less"):
         raise ValueError("direction is 'greater' or 'less'")
@@ -139,7 +138,7 @@ def threshold_dates(
         limit = F.lit(float(text))
         keep = F.col(value) >= limit if direction == "greater" else F.col(value) <= limit
         return df.where(keep & ~F.isnan(value)).select(time)
-    series = cut_lineage(df.where(~F.isnan(value)).select(time, value))
+    series = df.where(~F.isnan(value)).select(time, value)
     limit = threshold_value(series, threshold, value)
     keep = F.col(value) >= F.col("threshold") if direction == "greater" else F.col(value) <= F.col("threshold")
     return series.join(F.broadcast(limit), keep, "inner").select(time)  # one-row limit

@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import events, select, stats
-from fieldloom.operators.grouping import attach, group_stats
-from fieldloom.operators.ordered import scan_in_order
+from fieldloom.operators import align, events, select, stats
+from fieldloom.operators.grouping import attach, group_stats, parted
+from fieldloom.operators.ordered import even_buckets, scan_in_order
 from fieldloom.operators.quantiles import exact_quantile
 
 
@@ -24,17 +24,18 @@ def to_spark(spark, pdf):
     return df.withColumn("time", F.col("time").cast("timestamp_ntz")).repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [5, 50, 10_000])
+@pytest.mark.parametrize("hot_groups", [1, 3, 1000])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_attach_matches_plain_join(spark, hot_rows, how):
+def test_attach_matches_plain_join(spark, hot_groups, how):
     rng = np.random.default_rng(1)
     keys = np.where(rng.random(600) < 0.4, 0, rng.integers(1, 30, 600))
     df = spark.createDataFrame(pd.DataFrame({"k": keys, "v": rng.normal(size=600)})).repartition(6)
-    # Identical copies must spread and stay whole as well.
-    df = df.union(df.where("k = 0"))
+    df = df.union(df.where("k = 0"))  # identical copies must stay whole as well
+    nulls = spark.createDataFrame([(None, 5.0)] * 40, "k long, v double")
     stats_df = group_stats(df.where("k <> 7"), ["k"], F.avg("v").alias("m"))
-    got = attach(df, stats_df, ["k"], how=how, hot_rows=hot_rows, salts=4).toPandas()
-    pdf = df.toPandas()
+    got = attach(df.union(nulls), stats_df, ["k"], how=how, hot_groups=hot_groups).toPandas()
+    assert got.k.isna().sum() == (40 if how == "left" else 0) and got[got.k.isna()].m.isna().all()
+    got, pdf = got[got.k.notna()], df.toPandas()
     want = pdf[pdf.k != 7].groupby("k").v.mean().rename("m")
     want = pdf.merge(want, left_on="k", right_index=True, how=how)
     assert len(got) == len(want)
@@ -42,6 +43,60 @@ def test_attach_matches_plain_join(spark, hot_rows, how):
     assert np.isclose((got.v - got.m).sum(), (want.v - want.m).sum())
 
 
+def test_rows_of_crowded_groups_do_not_move(spark):
+    """A third of the rows in one key and a third without a key: neither is among the rows that are shuffled."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 2, F.col("id") % 500).alias("k"), "id")
+    held = group_stats(df, ["k"], F.sum("id").alias("s")).select("k", F.struct("s", "_group_rows").alias("_stats"))
+    near, far = parted(df, held, ["k"], "left", 1)
+    assert far.where("k = 0 or k is null").count() == 0 and near.count() > 5900 and near.count() + far.count() == 9000
+    text = attach(df, group_stats(df, ["k"], F.sum("id").alias("s")), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in text and "BroadcastHashJoin" in text
+
+
+def test_lower_arrays_have_one_row_a_key(spark):
+    df = spark.createDataFrame([(i % 3, float(i)) for i in range(30)], "k int, v double")
+    lower = spark.createDataFrame([(0, 1.0), (1, None)], "k int, low double")
+    got = align.broadcast_dims(df, lower, ["k"]).collect()
+    assert len(got) == 20 and {(r.k, r.low) for r in got} == {(0, 1.0), (1, None)}
+    with pytest.raises(Exception, match="comes twice"):
+        align.broadcast_dims(df, lower.union(lower), ["k"]).collect()
+
+
+def test_far_values_do_not_widen_bins(spark):
+    """One value of 1e12 among 200,000: what reaches the last pass stays a small part of the rows."""
+    rng = np.random.default_rng(8)
+    values = np.append(rng.normal(size=200_000), [1e12, -1e15])
+    df = spark.createDataFrame(pd.DataFrame({"v": values, "g": np.arange(len(values)) % 2})).repartition(8)
+    for q in (0.0, 0.37, 0.9, 1.0):
+        quantile = exact_quantile(df, "v", q)
+        assert quantile.first()[0] == np.quantile(values, q)
+    got = {r.g: r["quantile"] for r in exact_quantile(df, "v", 0.9, by=["g"]).collect()}
+    assert got == {g: np.quantile(values[g::2], 0.9) for g in (0, 1)}
+    sides = df.agg(F.percentile_approx("v", [0.9 - 2e-4, 0.9 + 2e-4], 10_000).alias("s")).first().s
+    assert 2 < ((values >= sides[0]) & (values <= sides[1])).sum() < 400
+    text = select.threshold_dates(df.withColumnRenamed("g", "time"), "90pct", value="v")._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in text or "Scan" in text
+
+
+def test_asof_with_a_third_of_the_rows_on_one_day(spark):
+    rng = np.random.default_rng(4)
+    spread = rng.integers(0, 300 * 86_400, 4000)
+    crowd = 100 * 86_400 + rng.integers(0, 86_400, 2000)
+    at = pd.to_datetime("2001-01-01") + pd.to_timedelta(np.concatenate([spread, crowd]), unit="s")
+    pdf = pd.DataFrame({"time": at, "value": rng.normal(size=6000), "label": rng.random(6000) < 0.5})
+    df = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz")).repartition(6)
+    pieces = even_buckets(df, F.unix_micros(F.col("time").cast("timestamp"))).groupBy("_split").count().toPandas()["count"]
+    assert len(pieces) > 100 and pieces.max() <= 2 * pieces.median()
+    got = align.asof_select(df.where("label"), df.where("not label").select(F.col("time").alias("target")), "pad").toPandas().sort_values("target")
+    labels = pdf[pdf.label].groupby("time", as_index=False).value.min().sort_values("time")
+    targets = pdf[~pdf.label][["time"]].drop_duplicates().sort_values("time")
+    want = pd.merge_asof(targets, labels.assign(label=labels.time), on="time")
+    assert np.allclose(got.value.astype(float).fillna(-9), want.value.fillna(-9)) and len(got) == len(want)
+    back = align.asof_select(df.where("label"), df.where("not label").select(F.col("time").alias("target")), "backfill").toPandas().sort_values("target")
+    want = pd.merge_asof(targets, labels.assign(label=labels.time), on="time", direction="forward")
+    assert np.allclose(back.value.astype(float).fillna(-9), want.value.fillna(-9))
+
+
 def test_scan_in_order_equals_global_window(spark):
     pdf = daily(800)
     pdf["gappy"] = pdf.value.where(pdf.value > 1)
