@@ -79,8 +79,10 @@ def _kept(candidates: Column, n: Column) -> Column:
         def reach(width: int) -> Column:
             return right(width) - left(width) > F.lit(WINDOW)
 
-        # Numbers beyond the near ones matter only if the near ones leave room for a window.
-        return reach(NEAR) & reach(WINDOW)
+        # Numbers further than a window do not matter; the near ones nearly always reach beyond it.
+        before, after = F.get(candidates, i - NEAR), F.get(candidates, i + NEAR)
+        beyond = F.coalesce(_place(before) <= p - WINDOW, i < NEAR) & F.coalesce(_place(after) >= p + WINDOW, F.lit(True))
+        return reach(NEAR) & (beyond | reach(WINDOW))
 
     return F.filter(candidates, keep)
 
