@@ -44,13 +44,13 @@ class Rolling:
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
-    def _reach(self, n: int) -> None:
+    def reach(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
             self.up, self.down = powers(self.BASE, n), powers(inverse_odd(self.BASE), n)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._reach(len(values) + 1)
+        self.reach(len(values) + 1)
         out = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * self.up[: len(values)], out=out[1:])
         return out

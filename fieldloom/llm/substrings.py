@@ -5,15 +5,16 @@ to anchors. Two equal windows therefore share, at equal depth, an anchor whose n
 hashed and compared over all documents; each one that repeats is extended to the windows that contain it, and these are compared as a whole.
 
 1. Tasks hash the words after each anchor and send each value once a batch, with the part its document belongs to, in one array a bucket.
-2. Values that repeat go back to those parts. A part (the documents of one hash value of the id) hashes the windows around its repeated anchors and
+2. Values that repeat go back to those parts. A part (the documents of one hash value of id and text) hashes the windows around its repeated anchors and
    sends each distinct one once, with its first place; the others are known to be repeats there and then.
-3. Of equal windows the first place in the order of (doc_id, start) stays, all others go back to their parts, which cut the words they cover.
+3. Of equal windows the first place in the order of (doc_id, hash of the text, start) stays, all others go back to their parts, which cut the words they cover.
 
 Texts are dealt to their parts once, and both uses read that exchange. A window that is frequent everywhere is one entry a batch or part.
 
-Words are compared by 64-bit polynomial hashes of their bytes, windows by 64-bit hashes of these. Defined cases: null and empty texts have no words;
-a null id counts as the smallest; rows that repeat an id and text are one document and give equal rows, other rows of one id share their marks; windows
-longer than a document do not exist; an empty table gives an empty result; extra columns are ignored.
+Words are compared by 64-bit polynomial hashes of their bytes (words of more than ``LONG_WORD`` bytes, among which such hashes have known collisions, by
+BLAKE2), windows by 64-bit hashes of these. Defined cases: null and empty texts have no words; a null id counts as the smallest; rows that repeat an id and
+text are one document and give equal rows; rows of one id with different texts, null ids included, are documents of their own in the order of their texts'
+hashes; windows longer than a document do not exist; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 1
 
 NULL_ID = -(1 << 63)
 STRETCH = 2 << 20
+LONG_WORD = 256
 
 
 def period_for(window: int, least: int = 8) -> int:
@@ -53,8 +55,8 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a text and their hashes, found in stretches of bounded length."""
 
-    def __init__(self):
-        self.rolling = Rolling()
+    def __init__(self, stretch: int = STRETCH):
+        self.rolling, self.stretch = Rolling(), stretch
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         data = np.frombuffer(text or b"", np.uint8)
@@ -62,12 +64,14 @@ class Words:
         hashes = np.zeros(len(starts), np.uint64)
         first = 0
         while first < len(starts):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH, "right")))
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + self.stretch, "right")))
             base = starts[first]
             prefix = self.rolling.prefix(data[base : ends[last - 1]].astype(np.uint64) + np.uint64(1))
             at = starts[first:last] - base
             hashes[first:last] = self.rolling.runs(prefix, at, ends[first:last] - starts[first:last])
             first = last
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
         return hashes, starts, ends
 
 
@@ -84,10 +88,11 @@ def anchors(n: int, window: int, period: int) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
-    """(doc, text, part): the text as bytes, and the part its id belongs to."""
+    """(id, doc, tie, text, part): the text as bytes, its hash, and the part that id and text belong to; rows of one id are spread."""
     doc = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc", "tie"), F.lit(parts)).cast("int"))
 
 
 KEYS = "bucket int, part int, keys binary, owners binary, twice binary"
@@ -167,50 +172,56 @@ def settled(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartition(parts_for(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
-def _part_texts(table: pa.Table) -> list[tuple[int, bytes]]:
-    """Distinct (doc, text) of a part in order."""
-    return sorted(set(zip(table.column("doc").to_pylist(), table.column("text").to_pylist(), strict=True)))
+def rows_of(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    """(doc, tie, text) of the rows of a part."""
+    return zip(*(table.column(c).to_pylist() for c in ("doc", "tie", "text")), strict=True)
 
 
-WINDOWS = "bucket int, part int, keys binary, docs binary, starts binary"
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+def names_of(table: pa.Table) -> dict[tuple[int, int, bytes], int]:
+    """The number of each different row of a part in the order of id, hash and text: the same whenever the part is read."""
+    return {row: i for i, row in enumerate(sorted(set(rows_of(table))))}
 
 
-def send_windows(part: int, keys: np.ndarray, docs: np.ndarray, starts: np.ndarray, buckets: int) -> pa.Table:
+#: ``docs`` and ``ties`` order the documents everywhere, ``names`` tell them apart in their part.
+WINDOWS = "bucket int, part int, keys binary, docs binary, ties binary, names binary, starts binary"
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in ("keys", "docs", "ties", "names", "starts")]])
+
+
+def send_windows(part: int, keys: np.ndarray, docs: np.ndarray, ties: np.ndarray, names: np.ndarray, starts: np.ndarray, buckets: int) -> pa.Table:
     """A part's windows: the first of equal ones to its bucket, the others straight back."""
-    order = np.lexsort((starts, docs, keys))
-    keys, docs, starts = keys[order], docs[order], starts[order]
+    order = np.lexsort((starts, names, keys))
+    keys, docs, ties, names, starts = (x[order] for x in (keys, docs, ties, names, starts))
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     rows: list[tuple] = []
     if not first.all():
-        rows.append((-1 - part, part, b"", docs[~first].tobytes(), starts[~first].tobytes()))
-    keys, docs, starts = keys[first], docs[first], starts[first]
+        rows.append((-1 - part, part, b"", b"", b"", names[~first].tobytes(), starts[~first].tobytes()))
+    keys, docs, ties, names, starts = (x[first] for x in (keys, docs, ties, names, starts))
     edges = np.append(np.searchsorted(keys, bucket_floor(buckets)), len(keys))
     for b in range(buckets):
         if edges[b + 1] > edges[b]:
             mine = slice(edges[b], edges[b + 1])
-            rows.append((b, part, keys[mine].tobytes(), docs[mine].tobytes(), starts[mine].tobytes()))
+            rows.append((b, part, *(x[mine].tobytes() for x in (keys, docs, ties, names, starts))))
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_WINDOWS)], schema=_WINDOWS)
 
 
 def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, docs, starts) of all windows but the first of each kind."""
-    schema = pa.schema([("part", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())])
+    """(part, names, starts) of all windows but the first of each kind."""
+    schema = pa.schema([("part", pa.int32()), ("names", pa.binary()), ("starts", pa.binary())])
     for bucket, rows in runs_of(batches, "bucket"):
-        back = list(zip(rows["part"], rows["docs"], rows["starts"], strict=True))
+        back = list(zip(rows["part"], rows["names"], rows["starts"], strict=True))
         if bucket >= 0:
             keys = np.concatenate([as_numbers(k) for k in rows["keys"]])
-            docs = np.concatenate([np.frombuffer(d, np.int64) for d in rows["docs"]])
-            starts = np.concatenate([np.frombuffer(s, np.int64) for s in rows["starts"]])
+            docs, ties = (np.concatenate([np.frombuffer(x, np.int64) for x in rows[c]]) for c in ("docs", "ties"))
+            names, starts = (np.concatenate([np.frombuffer(x, np.int32) for x in rows[c]]) for c in ("names", "starts"))
             edges = np.cumsum([0, *(len(k) // 8 for k in rows["keys"])]).tolist()
-            order = np.lexsort((starts, docs, keys))
+            order = np.lexsort((starts, names, ties, docs, keys))
             later = np.zeros(len(keys), bool)
             later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
             back = []
             for part, x, y in zip(rows["part"], edges, edges[1:], strict=False):
                 if (mine := later[x:y]).any():
-                    back.append((part, docs[x:y][mine].tobytes(), starts[x:y][mine].tobytes()))
+                    back.append((part, names[x:y][mine].tobytes(), starts[x:y][mine].tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in back], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
@@ -222,15 +233,15 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, and ``kept``, its remaining words joined by single spaces."""
+def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text: str = "text", stretch: int = STRETCH) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, and ``kept``, its remaining words joined by single spaces. ``stretch`` bytes are hashed at once."""
     buckets = parts_for(docs.sparkSession)
     period, parts = period_for(window), 4 * buckets  # texts in smaller groups than keys: every bucket answers every part with one row
     depth = window - period + 1
     rows = dealt(docs, doc_id, text, parts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rolling = Words(), Rolling()
+        words, rolling = Words(stretch), Rolling()
         pairs = (r for b in batches for r in zip(b.column("part").to_pylist(), (t.as_py() for t in b.column("text")), strict=True))
         for group in batched(pairs, lambda r: len(r[1])):
             keys, owners = [], []
@@ -245,9 +256,9 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
 
     def extend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         again = np.unique(np.concatenate([as_numbers(k) for k in right.column("keys").to_pylist()] or [np.zeros(0, np.uint64)]))
-        words, rolling = Words(), Rolling()
-        found: list[list] = [[], [], []]
-        for doc, t in _part_texts(left) if len(again) else ():
+        words, rolling = Words(stretch), Rolling()
+        found: list[list] = [[], [], [], [], []]
+        for (doc, tie, t), name in names_of(left).items() if len(again) else ():
             hashes = words(t)[0]
             at = anchors(len(hashes), window, period)
             at = at[among(window_hashes(rolling, hashes, at, depth), again)] if len(at) else at
@@ -257,21 +268,24 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
                 np.add.at(near, at + 1, -1)
                 starts = np.flatnonzero(np.cumsum(near)[: len(hashes) - window + 1] > 0)
                 found[0].append(window_hashes(rolling, hashes, starts, window))
-                found[1].append(np.full(len(starts), doc, np.int64))
-                found[2].append(starts.astype(np.int64))
+                for held, value in ((found[1], np.int64(doc)), (found[2], np.int64(tie)), (found[3], np.int32(name))):
+                    held.append(np.full(len(starts), value))
+                found[4].append(starts.astype(np.int32))
         if not found[0]:
             return _WINDOWS.empty_table()
         return send_windows(key[0].as_py(), *(np.concatenate(f) for f in found), buckets)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs_, starts = (np.concatenate([np.frombuffer(v, np.int64) for v in right.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("docs", "starts"))
-        order = np.argsort(docs_, kind="stable")
-        docs_, starts = docs_[order], starts[order]
+        marked, starts = (np.concatenate([np.frombuffer(v, np.int32) for v in right.column(c).to_pylist()] or [np.zeros(0, np.int32)]) for c in ("names", "starts"))
+        order = np.argsort(marked, kind="stable")
+        marked, starts = marked[order], starts[order].astype(np.int64)
+        names = names_of(left)
         out: list[list] = [[], [], [], []]
-        for i, doc, t in zip(left.column("id").to_pylist(), left.column("doc").to_pylist(), left.column("text").to_pylist(), strict=True):
+        for i, row in zip(left.column("id").to_pylist(), rows_of(left), strict=True):
+            t = row[2]
             begin, end = word_bounds(np.frombuffer(t, np.uint8))
-            mine = starts[np.searchsorted(docs_, doc, "left") : np.searchsorted(docs_, doc, "right")]
-            gone = covered(len(begin), mine[mine < len(begin)], window)
+            mine = starts[slice(*np.searchsorted(marked, [names[row], names[row] + 1]))]
+            gone = covered(len(begin), mine, window)
             keep = np.flatnonzero(~gone)
             kept = b" ".join(t[a:b] for a, b in zip(begin[keep].tolist(), end[keep].tolist(), strict=True))
             for column, value in zip(out, (i, len(begin), int(gone.sum()), kept.decode("utf-8")), strict=True):
@@ -282,6 +296,6 @@ def drop_repeats(docs: DataFrame, window: int = 20, doc_id: str = "doc_id", text
     marks = settled(rows.select("part", "text").mapInArrow(find, KEYS), buckets).mapInArrow(repeated_keys, "part int, keys binary")
     texts = rows.groupBy("part")
     windows = texts.cogroup(marks.groupBy("part")).applyInArrow(extend, WINDOWS)
-    later = settled(windows, buckets).mapInArrow(later_windows, "part int, docs binary, starts binary")
+    later = settled(windows, buckets).mapInArrow(later_windows, "part int, names binary, starts binary")
     result = texts.cogroup(later.groupBy("part")).applyInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string")
     return result.withColumnRenamed("id", doc_id)

@@ -5,7 +5,7 @@ only suffixes that can matter are sorted:
 
 1. Of the 32-byte grams inside each window of ``width`` bytes the one with the smallest hash is an anchor, so equal windows have equal anchors at equal
    depth. One gram in about 185 is one. Tasks send anchor hashes to buckets, each once a batch, with its count; those that repeat go back to the parts
-   (documents of one hash value of the id) that own them.
+   (documents of one hash value of id and text) that own them.
 2. A part cuts the context of each repeated anchor: the windows it is chosen for, and no more. Equal contexts are sent once and known to be repeats.
 3. A bucket sorts the contexts of an anchor twice, as suffixes from the anchor on and as reversed prefixes before it. Two suffixes are compared by the
    binary search for their common extension on prefix polynomial hashes, in the rounds of a mergesort; the extensions of neighbours are checked on the
@@ -15,8 +15,9 @@ only suffixes that can matter are sorted:
 An anchor with more than ``hot`` places is not gathered: the windows of its different contexts are hashed one by one (128 bits) and meet as keys, each
 distinct one once a part. This gives the same result for groups of any size.
 
-Defined cases: null and empty texts have no bytes; matches never cross documents; a null id counts as the smallest; rows that repeat an id and text count
-as two starts of their strings, and so do copies; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null and empty texts have no bytes; matches never cross documents; every row is a document of its own, whether its id is null, shared with
+other texts or repeated with its text, so that equal rows are two starts of their strings as copies are; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.blocks import Rolling, as_numbers, batched, bucket_floor
-from fieldloom.llm.common import parts_for
-from fieldloom.llm.substrings import covered, dealt, runs_of, settled
+from fieldloom.llm.common import mix64, parts_for
+from fieldloom.llm.substrings import covered, dealt, names_of, rows_of, runs_of, settled
 
 GRAM = 32
 HOT = 2_000
 STRETCH = 1 << 18
-#: Contexts that are sorted at once; a group of up to ``HOT`` stays together.
-TOGETHER = 2_000
+#: Bytes of contexts that are sorted at once; a group of up to ``HOT`` contexts stays together.
+TOGETHER = 1 << 19
 
 
 def window_minima(numbers: np.ndarray, width: int) -> np.ndarray:
@@ -55,8 +56,8 @@ def window_minima(numbers: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """Positions chosen in one text, their gram hashes, and the range of window starts that each is chosen for."""
 
-    def __init__(self, width: int):
-        self.width, self.rolling = width, Rolling()
+    def __init__(self, width: int, stretch: int = STRETCH):
+        self.width, self.stretch, self.rolling = width, stretch, Rolling()
 
     def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n, span = len(data), self.width - GRAM + 1
@@ -65,8 +66,8 @@ class Anchors:
             none = np.zeros(0, np.int64)
             return none, none.astype(np.uint64), none, none
         chosen, hashes = [], []
-        for base in range(0, starts, STRETCH):
-            piece = data[base : base + STRETCH + self.width - 1]
+        for base in range(0, starts, self.stretch):
+            piece = data[base : base + self.stretch + self.width - 1]
             prefix = self.rolling.prefix(piece.astype(np.uint64) + np.uint64(1))
             h = self.rolling.runs(prefix, np.arange(len(piece) - GRAM + 1), GRAM)
             # High bits of the hash, then the place from the right: of equal hashes the rightmost is the least number.
@@ -170,19 +171,28 @@ def merge_sorted(order: np.ndarray, groups: np.ndarray, before) -> np.ndarray:
 
 
 class Sides:
-    """Suffixes (or reversed prefixes) of many contexts in one buffer, compared by prefix hashes."""
-
-    def __init__(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        self.buffer, self.starts, self.lengths = np.append(buffer, 0), starts, lengths
-        self.rolling = Rolling()
-        self.prefix = self.rolling.prefix(buffer.astype(np.uint64) + np.uint64(1))
+    """Suffixes (or reversed prefixes) of many contexts in one buffer, compared by prefix hashes; the hashes of a context begin at its own start, so the
+    powers they need are as many as a context has bytes."""
+
+    def __init__(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, rolling: Rolling):
+        """``sizes``: bytes of the contexts that fill the buffer one after another; suffix i lies in context i."""
+        self.buffer, self.starts, self.lengths, self.rolling = np.append(buffer, 0), starts, lengths, rolling
+        begin = np.cumsum(sizes) - sizes
+        self.offset = starts - begin
+        self.prefix = np.zeros(len(buffer) + 1, np.uint64)
+        inside = np.arange(len(buffer), dtype=np.int32) - np.repeat(begin, sizes).astype(np.int32)
+        rolling.reach(int(sizes.max(initial=0)) + 1)
+        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * rolling.up[inside], out=self.prefix[1:])
+
+    def _hash(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return mix64((self.prefix[self.starts[a] + n] - self.prefix[self.starts[a]]) * self.rolling.down[self.offset[a]])
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes, by binary search on hashes."""
         lo, hi = np.zeros(len(a), np.int64), np.minimum(self.lengths[a], self.lengths[b])
         while (lo < hi).any():
             mid = (lo + hi + 1) // 2
-            same = self.rolling.runs(self.prefix, self.starts[a], mid) == self.rolling.runs(self.prefix, self.starts[b], mid)
+            same = self._hash(a, mid) == self._hash(b, mid)
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
@@ -205,9 +215,16 @@ class Sides:
         return k
 
 
-def sorted_sides(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sorted_sides(
+    buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, groups: np.ndarray, sizes: np.ndarray | None = None, rolling: Rolling | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(order, common): suffixes in order within their groups, and the confirmed common extension of each with the one before (-1 at a group's start)."""
-    sides = Sides(buffer, starts, lengths)
+    if sizes is None:  # all lie in one text
+        sizes, starts, groups = np.array([len(buffer)]), starts, groups
+        sides = Sides(buffer, np.zeros(1, np.int64), np.zeros(1, np.int64), sizes, rolling or Rolling())
+        sides.starts, sides.lengths, sides.offset = starts, lengths, starts
+    else:
+        sides = Sides(buffer, starts, lengths, sizes, rolling or Rolling())
     order = merge_sorted(np.arange(len(starts)), groups, sides.before)
     common = np.full(len(order), -1, np.int64)
     follow = np.flatnonzero(groups[order][1:] == groups[order][:-1]) + 1
@@ -215,7 +232,9 @@ def sorted_sides(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gr
     return order, common
 
 
-def repeated_depths(groups: np.ndarray, texts: list[bytes], depths: np.ndarray, counts: np.ndarray, again: np.ndarray, width: int) -> np.ndarray:
+def repeated_depths(
+    groups: np.ndarray, texts: list[bytes], depths: np.ndarray, counts: np.ndarray, again: np.ndarray, width: int, rolling: Rolling | None = None
+) -> np.ndarray:
     """For contexts sorted by group a table (context x depth) of the windows that occur more than once.
 
     ``depths`` is the place of the anchor in its context, ``counts`` the number of windows, the first of which starts with the context.
@@ -224,9 +243,11 @@ def repeated_depths(groups: np.ndarray, texts: list[bytes], depths: np.ndarray,
     sizes = np.fromiter(map(len, texts), np.int64, n)
     begin = np.cumsum(sizes) - sizes
     buffer = np.frombuffer(b"".join(texts), np.uint8)
-    right, right_common = sorted_sides(buffer, begin + depths, sizes - depths, groups)
-    mirrored = np.cumsum(sizes)[-1] - (begin + depths)
-    left, left_common = sorted_sides(buffer[::-1].copy(), mirrored, depths, groups)
+    rolling = rolling or Rolling()
+    right, right_common = sorted_sides(buffer, begin + depths, sizes - depths, groups, sizes, rolling)
+    # Every context is reversed in its own place, so that contexts keep their order.
+    back = np.repeat(2 * begin + sizes - 1, sizes) - np.arange(len(buffer))
+    left, left_common = sorted_sides(buffer[back], begin + sizes - depths, depths, groups, sizes, rolling)
     out = np.zeros((n, int(depths.max()) + 1), bool)
     for d in range(out.shape[1]):
         has = np.flatnonzero((d <= depths) & (d > depths - counts))
@@ -242,7 +263,8 @@ def repeated_depths(groups: np.ndarray, texts: list[bytes], depths: np.ndarray,
 
 
 def found_runs(width: int):
-    """(part, docs, starts, counts): runs of window starts that repeat."""
+    """(part, docs, starts, counts): runs of window starts that repeat; ``docs`` are names of rows in their part."""
+    rolling = Rolling()
 
     def gathered(rows: dict) -> Iterator[tuple]:
         source, keys, docs, places, depths, texts, again = [], [], [], [], [], [], []
@@ -259,11 +281,14 @@ def found_runs(width: int):
         order = np.argsort(keys, kind="stable")
         edges = np.flatnonzero(np.diff(keys[order])) + 1
         pieces: list[np.ndarray] = []
-        for piece in np.split(order, edges):  # groups are sorted together up to a bounded number of contexts
-            pieces.append(piece)
-            if sum(map(len, pieces)) >= TOGETHER:
+        lengths, held = np.fromiter(map(len, texts), np.int64, len(texts)), 0
+        for piece in np.split(order, edges):  # groups are sorted together up to a bounded number of bytes
+            more = int(lengths[piece].sum())
+            if pieces and held + more > TOGETHER:
                 yield from solved(np.concatenate(pieces), source, keys, docs, places, depths, texts, again)
-                pieces = []
+                pieces, held = [], 0
+            pieces.append(piece)
+            held += more
         if pieces:
             yield from solved(np.concatenate(pieces), source, keys, docs, places, depths, texts, again)
 
@@ -271,7 +296,7 @@ def found_runs(width: int):
         chosen = [texts[i] for i in pick.tolist()]
         counts = np.fromiter(map(len, chosen), np.int64, len(chosen)) - width + 1
         at = depths[pick]
-        table = repeated_depths(keys[pick], chosen, at, counts, again[pick], width)
+        table = repeated_depths(keys[pick], chosen, at, counts, again[pick], width, rolling)
         # A window at depth d starts d bytes before the anchor: flipped, columns run in the order of the starts.
         flipped = np.zeros((len(pick), table.shape[1] + 2), np.int8)
         flipped[:, 1:-1] = table[:, ::-1]
@@ -310,15 +335,15 @@ def found_runs(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, and ``kept``, its remaining bytes."""
+def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", text: str = "text", hot: int = HOT, stretch: int = STRETCH) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, and ``kept``, its remaining bytes. ``stretch`` bytes are searched for anchors at once."""
     if width < GRAM:
         raise ValueError(f"strings must have {GRAM} bytes or more")
     parts = 4 * parts_for(docs.sparkSession)
     rows = dealt(docs, doc_id, text, parts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors = Anchors(width)
+        anchors = Anchors(width, stretch)
         pairs = (r for b in batches for r in zip(b.column("part").to_pylist(), (t.as_py() for t in b.column("text")), strict=True))
         for group in batched(pairs, lambda r: len(r[1])):
             keys, owners = [], []
@@ -336,10 +361,12 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
         is_hot = np.concatenate([np.frombuffer(h, bool) for h in right.column("hot").to_pylist()] or [np.zeros(0, bool)])
         order = np.argsort(marked)
         marked, is_hot = marked[order], is_hot[order]
-        anchors = Anchors(width)
+        anchors = Anchors(width, stretch)
         seen: dict = {}  # (key, depth, context) -> its entry
         hot_ones: dict = {}  # the same of hot anchors
-        for doc, t in zip(left.column("doc").to_pylist(), left.column("text").to_pylist(), strict=True) if len(marked) else ():
+        names = names_of(left) if len(marked) else {}
+        for row in rows_of(left) if len(marked) else ():
+            doc, t = names[row], row[2]
             at, h, first, last = anchors(np.frombuffer(t, np.uint8))
             where = np.minimum(np.searchsorted(marked, h), len(marked) - 1)
             for i in np.flatnonzero(marked[where] == h).tolist():
@@ -380,7 +407,9 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
         order = np.argsort(columns[0], kind="stable")
         docs_, starts, counts = (c[order] for c in columns)
         out: list[list] = [[], [], [], [], []]
-        for i, doc, t in zip(left.column("id").to_pylist(), left.column("doc").to_pylist(), left.column("text").to_pylist(), strict=True):
+        names = names_of(left)
+        for i, row in zip(left.column("id").to_pylist(), rows_of(left), strict=True):
+            doc, t = names[row], row[2]
             mine = slice(*np.searchsorted(docs_, [doc, doc + 1]))
             gone = covered(len(t), starts[mine], counts[mine] + width - 1) if mine.stop > mine.start else np.zeros(len(t), bool)
             spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
