@@ -67,9 +67,11 @@ def complete_season_years(df: DataFrame, date: str = "date") -> DataFrame:
     return df.join(F.broadcast(bounds), inside, "inner").drop("first_day", "last_day")  # one row
 
 
-def month_frequency_pct(dates: DataFrame, start: str, end: str, date: str = "date") -> DataFrame:
-    """Share of listed days among all days of each calendar month."""
-    filled = fill_calendar(counts_per_day(dates, date), start, end, date)
+def month_frequency_pct(
+    dates: DataFrame, start: str | None = None, end: str | None = None, date: str = "date", bounds: DataFrame | None = None
+) -> DataFrame:
+    """Share of listed days among all days of each calendar month, from ``start`` to ``end`` or within ``bounds`` as in ``fill_calendar``."""
+    filled = fill_calendar(counts_per_day(dates, date), start, end, date, bounds=bounds)
     return filled.groupBy(F.month(date).alias("month")).agg(
         (100.0 * F.sum("count") / F.count(F.lit(1))).alias("pct")
     )

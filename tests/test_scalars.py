@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import scalars
 from fieldloom.functions.regions import REGIONS, in_box, region_table
-from fieldloom.functions.student import two_sided_p
+from fieldloom.functions.student import t_two_sided
+from reference import two_sided_p
 
 DEGREES = [0.0, 360.0, 378.0, 60.0, -30.0, -810.0]
 
@@ -55,9 +56,19 @@ def test_regions(spark):
     assert df.where(F.lit(True) & in_box((-30, -30, 10, 10))).count() == 1
 
 
-def test_student_probabilities():
+def test_student_probabilities(spark):
     # Two-sided tail probabilities from standard tables.
     cases = [(2.228139, 10, 0.05), (1.812461, 10, 0.10), (12.706205, 1, 0.05), (1.959964, 1e7, 0.05), (0.0, 5, 1.0)]
-    for t, df, p in cases:
-        assert two_sided_p(t, df) == pytest.approx(p, abs=2e-7)
-    assert two_sided_p([3.0], [2.0])[0] == pytest.approx(1 - 3 / math.sqrt(11), rel=1e-12)
+    exact = [(3.0, 2.0, 1 - 3 / math.sqrt(11)), (-1.0, 1.0, 0.5), (math.inf, 4.0, 0.0), (1e-9, 3.0, 1.0), (math.sqrt(3), 1.0, 1 / 3)]
+    near = [(t, n) for t in (0.01, 0.7, 2.0, -5.0, 40.0) for n in (0.4, 1.5, 7.0, 33.3, 800.0)]
+    table = spark.createDataFrame([(float(t), float(n)) for t, n, *_ in cases + exact + near], "t double, n double")
+    got = {(r.t, r.n): r.p for r in table.select("t", "n", t_two_sided("t", "n").alias("p")).collect()}
+    for t, n, p in cases:
+        assert got[t, n] == pytest.approx(p, abs=2e-7)
+    for t, n, p in exact:
+        assert got[t, n] == pytest.approx(p, rel=1e-11, abs=1e-8 if t == 1e-9 else 1e-14)
+    for t, n in near:
+        if n >= 1.5:
+            assert got[t, n] == pytest.approx(float(two_sided_p(t, n)[0]), rel=1e-6, abs=1e-9)
+    none = spark.createDataFrame([(None, 3.0), (1.0, None), (1.0, 0.0), (float("nan"), 3.0), (1.0, -2.0)], "t double, n double")
+    assert [r.p for r in none.select(t_two_sided("t", "n").alias("p")).collect()] == [None] * 5

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import calendars, events, phases, select
 from workload import views
-from workload.registry import query
+from workload.registry import query, student_p
 
 MIN_SUM = 11
 
@@ -183,16 +183,32 @@ def _(spark, d):
     return phases.cyclic_kde(views.waves(spark, d))
 
 
-@query("kde_extrema", "season:s kind:s bin:2 left:2 right:2")
+_GROWN = """
+    WITH RECURSIVE axis AS (SELECT season, list(density ORDER BY bin) AS d FROM (
+        SELECT season, bin, sum(0.75 / (3.0 * sqrt(2 * pi())) * (exp(-0.5 * pow((bin - x) / 3.0, 2)) + exp(-0.5 * pow((bin - x + 59.25) / 3.0, 2)) + exp(-0.5 * pow((bin - x - 59.25) / 3.0, 2)))) AS density
+        FROM (SELECT wave6_phase AS x, unnest(['annual', season]) AS season FROM waves JOIN seasons ON month(time) = mon) CROSS JOIN (SELECT b * 0.75::DOUBLE AS bin FROM range(80) r(b))
+        GROUP BY season, bin) GROUP BY season),
+    peaks AS (SELECT season, d, i, CASE WHEN d[i + 1] > d[i] AND d[i + 1] > d[i + 2] THEN 'max' WHEN d[i + 1] < d[i] AND d[i + 1] < d[i + 2] THEN 'min' END AS kind
+              FROM axis, range(1, 79) r(i)),
+    grown AS (
+        SELECT season, d, kind, i, i AS l, i AS r, 0 AS step FROM peaks WHERE kind IS NOT NULL
+        UNION ALL SELECT season, d, kind, i, CASE WHEN go_right THEN l ELSE below END, CASE WHEN go_right THEN above ELSE r END, step + 1 FROM (
+            SELECT *, CASE kind WHEN 'max' THEN d[above + 1] >= d[below + 1] ELSE d[above + 1] <= d[below + 1] END AS go_right
+            FROM (SELECT *, (r + 1) % 79 AS above, (l + 78) % 79 AS below FROM grown WHERE step < 10)))
+    SELECT season, kind, i * 0.75 AS bin, l * 0.75 AS "left", r * 0.75 AS "right" FROM grown WHERE step = 10"""
+
+
+@query("kde_extrema", "season:s kind:s bin:2 left_bin:2 right_bin:2", _GROWN.replace('"left"', "left_bin").replace('"right"', "right_bin"))
 def _(spark, d):
-    return phases.kde_extrema(phases.cyclic_kde(views.waves(spark, d), bandwidth=3.0))
+    found = phases.kde_extrema(phases.cyclic_kde(views.waves(spark, d), bandwidth=3.0))
+    return found.withColumnsRenamed({"left": "left_bin", "right": "right_bin"})
 
 
 # Calendars and counts.
 
 
 @query("fill_calendar", "date:d count:i", """
-    SELECT r.day AS date, coalesce(n, 0) AS count FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS day) r
+    SELECT r.day AS date, coalesce(n, 0) AS count FROM (SELECT unnest(generate_series((SELECT make_date(year(min(time)), 1, 1) FROM series), (SELECT make_date(year(max(time)), 12, 31) FROM series), INTERVAL 1 DAY)) AS day) r
     LEFT JOIN (SELECT date, count(*) AS n FROM urgent_days GROUP BY 1) u ON u.date = r.day""")
 def _(spark, d):
     counts = calendars.counts_per_day(views.urgent_days(spark, d))
@@ -209,18 +225,20 @@ def _(spark, d):
 
 @query("month_frequency_pct", "month:i pct:6", """
     SELECT month(day) AS month, 100.0 * count(date) / count(*) AS pct
-    FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS day)
+    FROM (SELECT unnest(generate_series((SELECT min(time) FROM series), (SELECT max(time) FROM series), INTERVAL 1 DAY)) AS day)
     LEFT JOIN high_days ON date = day GROUP BY 1""")
 def _(spark, d):
     from workload.stats_queries import high_days
 
-    return calendars.month_frequency_pct(high_days(spark, d), "1996-01-01", "2000-12-31")
+    days = views.series(spark, d).agg(F.to_date(F.min("time")).alias("first_day"), F.to_date(F.max("time")).alias("last_day"))
+    return calendars.month_frequency_pct(high_days(spark, d), bounds=days)
 
 
 _COUNTS = """
     SELECT year(date + INTERVAL 1 MONTH) AS season_year, count(*) FILTER (season = 'DJF') AS DJF, count(*) FILTER (season = 'MAM') AS MAM,
            count(*) FILTER (season = 'JJA') AS JJA, count(*) FILTER (season = 'SON') AS SON, count(*) AS annual
-    FROM high_days JOIN seasons ON month(date) = mon WHERE date BETWEEN DATE '1995-12-01' AND DATE '2000-11-30' GROUP BY 1"""
+    FROM high_days JOIN seasons ON month(date) = mon WHERE date BETWEEN (SELECT make_date(year(min(time)) + CASE WHEN month(min(time)) = 12 THEN 1 ELSE 0 END, 12, 1) FROM series)
+      AND (SELECT make_date(year(max(time)) - CASE WHEN month(max(time)) < 12 THEN 1 ELSE 0 END, 11, 30) FROM series) GROUP BY 1"""
 
 
 def _season_counts(spark, d):
@@ -236,14 +254,17 @@ def _(spark, d):
     return _season_counts(spark, d)
 
 
-@query("seasonal_trend", "season:s n:i slope:6 r:6", f"""
+_TRENDS = f"""
     SELECT season, count(*) AS n, regr_slope(y, season_year) AS slope, corr(y, season_year) AS r FROM (
-        SELECT season_year, unnest(['annual', 'DJF', 'MAM', 'JJA', 'SON']) AS season, unnest([annual, DJF, MAM, JJA, SON]) AS y FROM ({_COUNTS})) GROUP BY season""")
+        SELECT season_year, unnest(['annual', 'DJF', 'MAM', 'JJA', 'SON']) AS season, unnest([annual, DJF, MAM, JJA, SON]) AS y FROM ({_COUNTS})) GROUP BY season"""
+
+
+@query("seasonal_trend", "season:s n:i slope:6 r:6", _TRENDS)
 def _(spark, d):
     return calendars.seasonal_trend(_season_counts(spark, d))
 
 
-@query("seasonal_trend_p", "season:s p:6")
+@query("seasonal_trend_p", "season:s p:6", f"SELECT season, {student_p('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')} AS p FROM ({_TRENDS})")
 def _(spark, d):
     return calendars.seasonal_trend(_season_counts(spark, d))
 

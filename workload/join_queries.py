@@ -45,54 +45,50 @@ def _(spark, d):
 
 
 def _asof(spark, d, method):
-    rows = views.stream(spark, d)
-    labels = rows.where("event_type = 'purchase'")
-    targets = rows.where("event_type = 'click'").select(F.col("time").alias("target"))
-    return align.asof_select(labels, targets, method)
+    """For every second event of a type the value of one of the others of its type."""
+    rows = views.table(spark, d, "events").select(F.col("ts").alias("time"), "event_type", "value", (F.col("event_id") % 2).alias("odd"))
+    targets = rows.where("odd = 1").select("event_type", F.col("time").alias("target"))
+    return align.asof_select(rows.where("odd = 0").drop("odd"), targets, method, by=["event_type"])
 
 
-_ASOF = "target:t label:t value:4"
+_ASOF = "event_type:s target:t label:t value:4"
+_SIDES = """
+    WITH lab AS (SELECT event_type, ts AS time, min(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+         tgt AS (SELECT DISTINCT event_type, ts AS target FROM events WHERE event_id % 2 = 1)"""
 
 
-@query("asof_select", _ASOF, """
-    WITH lab AS (SELECT time, min(value) AS value FROM stream WHERE event_type = 'purchase' GROUP BY time),
-         tgt AS (SELECT DISTINCT time AS target FROM stream WHERE event_type = 'click'),
-         both_sides AS (SELECT target, p.time AS pt, p.value AS pv, n.time AS nt, n.value AS nv
-                   FROM tgt ASOF LEFT JOIN lab p ON target >= p.time ASOF LEFT JOIN lab n ON target <= n.time)
-    SELECT target, CASE WHEN use_p THEN pt ELSE nt END AS label, CASE WHEN use_p THEN pv ELSE nv END AS value FROM (
+@query("asof_select", _ASOF, _SIDES + """,
+         both_sides AS (SELECT tgt.event_type, target, p.time AS pt, p.value AS pv, n.time AS nt, n.value AS nv
+                   FROM tgt ASOF LEFT JOIN lab p ON tgt.event_type = p.event_type AND target >= p.time ASOF LEFT JOIN lab n ON tgt.event_type = n.event_type AND target <= n.time)
+    SELECT event_type, target, CASE WHEN use_p THEN pt ELSE nt END AS label, CASE WHEN use_p THEN pv ELSE nv END AS value FROM (
         SELECT *, nt IS NULL OR (pt IS NOT NULL AND epoch_us(target) - epoch_us(pt) <= epoch_us(nt) - epoch_us(target)) AS use_p FROM both_sides)""")
 def _(spark, d):
     return _asof(spark, d, "nearest")
 
 
-@query("asof_select_pad", _ASOF, """
-    WITH lab AS (SELECT time, min(value) AS value FROM stream WHERE event_type = 'purchase' GROUP BY time),
-         tgt AS (SELECT DISTINCT time AS target FROM stream WHERE event_type = 'click')
-    SELECT target, p.time AS label, p.value FROM tgt ASOF LEFT JOIN lab p ON target >= p.time""")
+@query("asof_select_pad", _ASOF, _SIDES + """
+    SELECT tgt.event_type, target, p.time AS label, p.value FROM tgt ASOF LEFT JOIN lab p ON tgt.event_type = p.event_type AND target >= p.time""")
 def _(spark, d):
     return _asof(spark, d, "pad")
 
 
-@query("asof_select_backfill", _ASOF, """
-    WITH lab AS (SELECT time, min(value) AS value FROM stream WHERE event_type = 'purchase' GROUP BY time),
-         tgt AS (SELECT DISTINCT time AS target FROM stream WHERE event_type = 'click')
-    SELECT target, p.time AS label, p.value FROM tgt ASOF LEFT JOIN lab p ON target <= p.time""")
+@query("asof_select_backfill", _ASOF, _SIDES + """
+    SELECT tgt.event_type, target, p.time AS label, p.value FROM tgt ASOF LEFT JOIN lab p ON tgt.event_type = p.event_type AND target <= p.time""")
 def _(spark, d):
     return _asof(spark, d, "backfill")
 
 
 @query("interval_join", "time:t id:i value:4", """
     SELECT e.time, e.value, i.event_id AS id FROM stream e JOIN (
-        SELECT event_id, ts AS s, ts + to_minutes(CAST(event_id % 30 AS INTEGER)) AS f FROM events WHERE event_type = 'error') i
-    ON e.time BETWEEN i.s AND i.f WHERE e.event_type = 'signup'""")
+        SELECT event_id, ts AS s, ts + to_minutes(CAST(event_id % 30 AS INTEGER)) AS f FROM events) i
+    ON e.time BETWEEN i.s AND i.f""")
 def _(spark, d):
-    spans = views.table(spark, d, "events").where("event_type = 'error'").select(
+    spans = views.table(spark, d, "events").select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("start_ts"),
         (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 30).cast("int"))).alias("end_ts"),
     )
-    signups = views.stream(spark, d).where("event_type = 'signup'")
-    return align.interval_join(signups, spans)
+    return align.interval_join(views.stream(spark, d), spans)
 
 
 @query("event_number_join", "time:d lat lon value:6 event_number:i", """

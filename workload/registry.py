@@ -21,6 +21,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def student_p(t: str, freedom: str) -> str:
+    """SQL of the two-sided Student probability for whole degrees of freedom: a finite sum over powers of the cosine of atan(t / sqrt(freedom))."""
+    angle = f"atan(abs({t}) / sqrt({freedom}))"
+    odd = f"list_sum(list_transform(range(CAST(({freedom} - 1) // 2 AS BIGINT)), lambda k: exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) * pow(cos({angle}), 2 * k)))"
+    even = f"list_sum(list_transform(range(CAST({freedom} // 2 AS BIGINT)), lambda k: exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * pow(cos({angle}), 2 * k)))"
+    inside = f"CASE WHEN {freedom} % 2 = 1 THEN 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce({odd}, 0)) ELSE sin({angle}) * {even} END"
+    return f"CASE WHEN {freedom} > 0 THEN 1 - ({inside}) END"
+
+
 def _spark_column(item: str):
     name, _, kind = item.partition(":")
     c = F.col(name)

@@ -21,9 +21,9 @@ def _(spark, d):
     return spectral.zonal_dft(views.field(spark, d), range(10), N)
 
 
-@query("zonal_dft_full", "time:d k:i re:5 im:5", "SELECT * FROM band_dft WHERE k BETWEEN 0 AND 18")
+@query("zonal_dft_full", "time:d lat k:i re:5 im:5", "SELECT * FROM dft WHERE k BETWEEN 0 AND 18")
 def _(spark, d):
-    return spectral.zonal_dft(band_mean(spark, d), range(19), N, by=["time"])
+    return spectral.zonal_dft(views.field(spark, d), range(19), N)
 
 
 _KEPT = """

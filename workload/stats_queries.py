@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import calendars, composite, select, stats
 from workload import views
-from workload.registry import query
+from workload.registry import query, student_p
 
 CELLS = "time:d lat lon value:6"
 
@@ -167,17 +167,20 @@ def _(spark, d):
     return composite.effective_sample_size(views.field(spark, d))
 
 
-@query("composite_significance", "season:s lat lon n:i mean:6 mean_all:6 n_eff:4 t:4", "WITH " + _CENTRED + ", eff AS (" + _NEFF + """),
+_TESTED = "WITH " + _CENTRED + ", eff AS (" + _NEFF + """),
     everything AS (SELECT season, lat, lon, avg(value) AS mean_all FROM (
         SELECT o.*, s.season FROM field o JOIN seasons s ON month(o.time) = s.mon UNION ALL SELECT o.*, 'annual' FROM field o) GROUP BY ALL)
     SELECT season, lat, lon, n, mean, mean_all, n_eff, CASE WHEN var / n_eff >= 0 THEN (mean - mean_all) / sqrt(var / n_eff) END AS t
-    FROM eff JOIN everything USING (season, lat, lon)""")
+    FROM eff JOIN everything USING (season, lat, lon)"""
+
+
+@query("composite_significance", "season:s lat lon n:i mean:6 mean_all:6 n_eff:4 t:4", _TESTED)
 def _(spark, d):
     tested = composite.composite_significance(views.field(spark, d), pwi_days(spark, d))
     return tested.withColumn("t", F.nanvl("t", F.lit(None).cast("double")))
 
 
-@query("composite_p_values", "season:s lat lon p:5")
+@query("composite_p_values", "season:s lat lon p:5", f"SELECT season, lat, lon, {student_p('t', '(n - 1)')} AS p FROM ({_TESTED})")
 def _(spark, d):
     return composite.composite_significance(views.field(spark, d), pwi_days(spark, d))
 
