@@ -75,7 +75,7 @@ class Anchors:
             least = window_minima((h & ~np.uint64((1 << 20) - 1)) | place, span)
             at = (np.uint64((1 << 20) - 1) - (least & np.uint64((1 << 20) - 1))).astype(np.int64)
             chosen.append(at + base)
-            hashes.append(h[at])
+            hashes.append(mix64(h[at]))  # minima lie at the low end of the numbers; mixed once more they fall evenly into the buckets
         at, h = np.concatenate(chosen), np.concatenate(hashes)
         new = np.flatnonzero(np.diff(at, prepend=-1))
         return at[new], h[new], new, np.append(new[1:], len(at)) - 1
@@ -339,7 +339,8 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and ``kept``, its remaining bytes. ``stretch`` bytes are searched for anchors at once."""
     if width < GRAM:
         raise ValueError(f"strings must have {GRAM} bytes or more")
-    parts = 4 * parts_for(docs.sparkSession)
+    buckets = parts_for(docs.sparkSession)
+    parts = 4 * buckets  # texts in smaller groups than keys: every part sends every bucket one row
     rows = dealt(docs, doc_id, text, parts)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +354,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
                 owners.append(np.full(len(h), part, np.int32))
             keys = np.concatenate(keys)
             if len(keys):
-                yield send_keys(keys, np.concatenate(owners), parts)
+                yield send_keys(keys, np.concatenate(owners), buckets)
 
     def contexts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         part = key[0].as_py()
@@ -383,7 +384,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
         if local:
             numbers = [np.array(c, np.int64).tobytes() for c in zip(*local, strict=True)]
             out.append((-1 - part, part, 0, b"", numbers[0], numbers[1], b"", numbers[2], b"", b""))
-        floor = bucket_floor(parts)
+        floor = bucket_floor(buckets)
         entries: dict[int, list] = {}
         for (h, depth, context), held in seen.items():
             entries.setdefault(int(np.searchsorted(floor, np.uint64(h), "right")) - 1, []).append((h, held[0][0], held[0][1], depth, context, len(held) > 1))
@@ -393,7 +394,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
             out.append((bucket, part, 0, np.array(columns[0], np.uint64).tobytes(), *numbers, b"".join(columns[4]), np.array(columns[5], bool).tobytes()))
         single: dict[int, list] = {}
         for digest, held in lone.items():
-            single.setdefault(int.from_bytes(digest[:4], "little") * parts >> 32, []).append((digest, *held[0][:2], len(held) > 1 or held[0][2]))
+            single.setdefault(int.from_bytes(digest[:4], "little") * buckets >> 32, []).append((digest, *held[0][:2], len(held) > 1 or held[0][2]))
         for bucket, mine in single.items():
             columns = list(zip(*mine, strict=True))
             docs_, places = (np.array(c, np.int64).tobytes() for c in columns[1:3])
@@ -419,9 +420,9 @@ def remove_repeats(docs: DataFrame, width: int = 400, doc_id: str = "doc_id", te
         kinds = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
         return pa.table([pa.array(c, k) for c, (_, k) in zip(out, kinds, strict=True)], names=[n for n, _ in kinds])
 
-    marks = settled(rows.select("part", "text").mapInArrow(find, KEYS), parts).mapInArrow(repeated(hot), "part int, keys binary, hot binary")
+    marks = settled(rows.select("part", "text").mapInArrow(find, KEYS), buckets).mapInArrow(repeated(hot), "part int, keys binary, hot binary")
     texts = rows.groupBy("part")
     cuts = texts.cogroup(marks.groupBy("part")).applyInArrow(contexts, CONTEXTS)
-    runs = settled(cuts, parts).mapInArrow(found_runs(width), "part int, docs binary, starts binary, counts binary")
+    runs = settled(cuts, buckets).mapInArrow(found_runs(width), "part int, docs binary, starts binary, counts binary")
     result = texts.cogroup(runs.groupBy("part")).applyInArrow(cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return result.withColumnRenamed("id", doc_id)
