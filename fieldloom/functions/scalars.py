@@ -35,6 +35,12 @@ def date_only(stamp: str | Column) -> Column:
     return F.to_date(F.split(col(stamp), "T").getItem(0))
 
 
+def local_date(stamp: str | Column, zone: str | Column) -> Column:
+    """The day in ``zone`` (such as ``Australia/Melbourne`` or ``+10:00``) of a UTC time, as text or timestamp."""
+    zone = F.lit(zone) if isinstance(zone, str) else zone
+    return F.to_date(F.convert_timezone(F.lit("UTC"), zone, col(stamp).cast("timestamp_ntz")))
+
+
 # The text layouts accepted by ``standard_date``.
 DATE_LAYOUTS = (
     "yyyy-MM-dd'T'HH:mm:ss",
@@ -82,6 +88,12 @@ def run_label(realization: str | Column, initialization: str | Column, physics:
     return F.concat(*[p.cast("string") for p in parts])
 
 
+def run_details(model: str | Column, experiment: str | Column, realization: str | Column, initialization: str | Column, physics: str | Column) -> Column:
+    """Struct of model, experiment and run label, from the global attributes of a run."""
+    run = run_label(realization, initialization, physics)
+    return F.struct(col(model).cast("string").alias("model"), col(experiment).cast("string").alias("experiment"), run.alias("run"))
+
+
 def wind_speed(u: str | Column, v: str | Column) -> Column:
     u, v = col(u), col(v)
     return F.sqrt(u * u + v * v)

@@ -58,7 +58,7 @@ def climatology_join(
         F.stddev_pop(F.when(base, F.col(value)) if base is not None else value).alias("_std"),
     )
     # Calendar keys number at most 366; with no further keys, or few named ones, so do the groups.
-    joined = attach(keyed, stats, [*by, "_key"], few_keys=not by or few_groups)
+    joined = attach(keyed, stats, [*by, "_key"], few_keys=not by or few_groups, reread=True)
     result = F.col(value)
     if subtract:
         result = result - F.col("_mean")
@@ -167,7 +167,7 @@ def broadcast_dims(df: DataFrame, lower: DataFrame, on: Sequence[str]) -> DataFr
     once = F.when(F.assert_true(F.col("_copies") == 1, F.lit("a key of the lower array comes twice")).isNull(), True)
     meeting = df.groupBy(*on).agg(F.count(F.lit(1)).alias(GROUP_ROWS))
     sized = rows.where(once).drop("_copies").join(meeting, on, "inner")
-    return attach(df, sized, on, how="inner")
+    return attach(df, sized, on, how="inner", reread=True)
 
 
 def grid_pairs(lat_axis: DataFrame, lon_axis: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -244,8 +244,20 @@ def conservative_weights(
     lon_axis: tuple[float, float, int],
     target_dlat: float,
     target_dlon: float,
+    order: int = 1,
 ) -> DataFrame:
-    """First-order conservative weights: the share of a target cell's area under each source cell."""
+    """Conservative weights: the share of a target cell's area under each source cell.
+
+    With ``order`` 2 a source cell is not flat but sloped, by the central
+    differences of its neighbours in sine of latitude (one-sided at the ends of
+    the axis) and longitude (around the circle). The slope acts at the middle of
+    each overlap, so that it adds nothing to the integral over a whole source cell:
+    integrals are kept, and a field linear in sine of latitude is reproduced. As a
+    slope is a difference of cells it only gives these cells more weight, and the
+    result is a table of weights like any other.
+    """
+    if order not in (1, 2):
+        raise ValueError("order is 1 or 2")
     lat0, dlat, nlat = lat_axis
     lon0, dlon, nlon = lon_axis
 
@@ -265,19 +277,56 @@ def conservative_weights(
     height = F.sin(F.radians(F.least(north, src_north))) - F.sin(F.radians(F.greatest(south, src_south)))
     width = F.least(east, src_west + dlon) - F.greatest(west, src_west)
     area = (F.sin(F.radians(north)) - F.sin(F.radians(south))) * (east - west)
-    return (
-        targets.withColumn("_i", F.explode(F.sequence(first_lat.cast("int"), last_lat.cast("int"))))
+    overlaps = (
+        targets.where(first_lat <= last_lat)
+        .withColumn("_i", F.explode(F.sequence(first_lat.cast("int"), last_lat.cast("int"))))
         .withColumn("_j", F.explode(F.sequence(first_lon.cast("int"), last_lon.cast("int"))))
         .withColumn("_w", height * width / area)
         .where("_w > 0")
-        .select(
-            F.col("_i").alias("src_lat_idx"), F.pmod(F.col("_j"), F.lit(nlon)).alias("src_lon_idx"), "lat", "lon", "_w"
-        )
+    )
+    if order == 2:
+        overlaps = _with_slopes(overlaps, lat_axis, lon_axis, F.greatest(south, src_south), F.least(north, src_north), F.greatest(west, src_west), F.least(east, src_west + dlon))
+    return (
+        overlaps.select(F.col("_i").alias("src_lat_idx"), F.pmod(F.col("_j"), F.lit(nlon)).alias("src_lon_idx"), "lat", "lon", "_w")
         .groupBy("src_lat_idx", "src_lon_idx", "lat", "lon")
         .agg(F.sum("_w").alias("weight"))
     )
 
 
+def _with_slopes(
+    overlaps: DataFrame, lat_axis: tuple[float, float, int], lon_axis: tuple[float, float, int], south: Column, north: Column, west: Column, east: Column
+) -> DataFrame:
+    """Each overlap of a target with a source cell ``_i, _j`` also as weights of the neighbours whose difference is the slope of the source cell."""
+    lat0, dlat, nlat = lat_axis
+    lon0, dlon, _ = lon_axis
+
+    def sine(lat: Column) -> Column:
+        return F.sin(F.radians(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat))))
+
+    def centre(i: Column) -> Column:
+        """Mean sine of latitude over a source cell."""
+        return (sine(F.lit(lat0 - dlat / 2) + i * dlat) + sine(F.lit(lat0 + dlat / 2) + i * dlat)) / 2
+
+    i, j, w = F.col("_i"), F.col("_j"), F.col("_w")
+    above, below = F.least(i + 1, F.lit(nlat - 1)), F.greatest(i - 1, F.lit(0))
+    run = centre(above) - centre(below)
+    north_share = F.when(run > 0, ((sine(south) + sine(north)) / 2 - centre(i)) / run).otherwise(0.0)
+    east_share = ((west + east) / 2 - (F.lit(lon0) + j * dlon)) / F.lit(2.0 * dlon)
+
+    def entry(lat_idx: Column, lon_idx: Column, weight: Column) -> Column:
+        return F.struct(lat_idx.cast("int").alias("i"), lon_idx.cast("int").alias("j"), weight.alias("w"))
+
+    entries = [
+        entry(i, j, w),
+        entry(above, j, w * north_share),
+        entry(below, j, -w * north_share),
+        entry(i, j + 1, w * east_share),
+        entry(i, j - 1, -w * east_share),
+    ]
+    spread = overlaps.withColumn("_e", F.explode(F.array(*entries)))
+    return spread.select("lat", "lon", F.col("_e.i").alias("_i"), F.col("_e.j").alias("_j"), F.col("_e.w").alias("_w"))
+
+
 def sparse_weight_regrid(
     df: DataFrame,
     weights: DataFrame,

@@ -30,7 +30,7 @@ def even_buckets(df: DataFrame, at: Column, out: str = "_split") -> DataFrame:
     The split points come from a mergeable sketch; rows of one instant share a bucket.
     """
     n = SPLITS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    points = df.agg(F.coalesce(F.percentile_approx(at, [i / n for i in range(1, n)], 10 * n), F.array().cast("array<bigint>")).alias("_points"))
+    points = df.agg(F.coalesce(F.percentile_approx(at, [i / n for i in range(1, n)], 10 * n), F.array()).alias("_points"))
     levels = (n - 1).bit_length()
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
     # binary search: how many of the points lie at or before the row

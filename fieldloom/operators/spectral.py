@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.circles import gather, transform
+from fieldloom.operators.ordered import even_buckets, scan_in_order
 
 CIRCLE = ("time", "lat")
 
@@ -387,13 +388,20 @@ def fourier_components_day(
 
 
 def _circular_neighbours(df: DataFrame, order: str, by: Sequence[str], value: str, wrap: bool) -> tuple[DataFrame, Column, Column]:
-    along = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = F.lag(value).over(along), F.lead(value).over(along)
-    if wrap:
-        before = F.coalesce(before, F.last(value).over(whole))
-        after = F.coalesce(after, F.first(value).over(whole))
-    return df.withColumn("_before", before).withColumn("_after", after), F.col("_before"), F.col("_after")
+    if by:
+        along = Window.partitionBy(*by).orderBy(order)
+        whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before, after = F.lag(value).over(along), F.lead(value).over(along)
+        first, last = F.first(value).over(whole), F.last(value).over(whole)
+        rows = df.withColumns({"_before": before, "_after": after, "_first": first, "_last": last})
+    else:  # one axis of any length: even pieces, with neighbours carried across their borders
+        kind = df.schema[order].dataType.typeName()
+        at = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order).cast("double")
+        rows = scan_in_order(even_buckets(df, at), order, bucket=F.col("_split"), lags={"_before": value}, leads={"_after": value}).drop("_split")
+        ends = df.agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+        rows = rows.join(F.broadcast(ends), F.lit(True), "inner")  # one row
+    before, after = F.col("_before"), F.col("_after")
+    return rows, F.coalesce(before, F.col("_last")) if wrap else before, F.coalesce(after, F.col("_first")) if wrap else after
 
 
 def local_extrema(
@@ -401,9 +409,11 @@ def local_extrema(
 ) -> DataFrame:
     """Strict local maxima and minima along an axis, with ``kind`` 'max' or 'min'.
 
-    A group is one axis, such as a latitude circle or the bins of a density.
+    A group is one axis, such as a latitude circle or the bins of a density;
+    without ``by`` the whole table is one axis, which may be long. A missing
+    neighbour (at an end without ``wrap``, or a NULL) is no bound that is exceeded.
     """
     rows, before, after = _circular_neighbours(df, order, by, value, wrap)
     v = F.col(value)
     kind = F.when((v > before) & (v > after), "max").when((v < before) & (v < after), "min")
-    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).drop("_before", "_after")
+    return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*df.columns, "kind")

@@ -100,7 +100,7 @@ def zonal_anomaly(df: DataFrame, by: Sequence[str] = ("time", "lat"), value: str
     """Departure from the mean of the latitude circle."""
     stats = group_stats(df, list(by), F.avg(value).alias("_zonal"))
     return (
-        attach(df, stats, list(by))
+        attach(df, stats, list(by), reread=True)
         .withColumn(value, F.col(value) - F.col("_zonal"))
         .select(*df.columns)
     )
@@ -190,7 +190,7 @@ def find_duplicates(df: DataFrame, item: str, position: str) -> DataFrame:
     """
     counts = df.groupBy(item).agg(F.count(F.lit(1)).alias("occurrences"))
     repeated = counts.where("occurrences > 1").withColumn("_group_rows", F.col("occurrences"))
-    return attach(df.select(item, position), repeated, [item], how="inner").select(item, position, "occurrences")
+    return attach(df.select(item, position), repeated, [item], how="inner", reread=True).select(item, position, "occurrences")
 
 
 def marginal_distribution(

@@ -22,6 +22,8 @@ from fieldloom.operators.stats import (
     yday_anomaly,
 )
 from fieldloom.session import cut_lineage
+from fieldloom.sources.readers import scan_date_list
+from fieldloom.sources.writers import Lineage, sink_date_list, sink_table
 
 
 def smoothed_anomaly(field: DataFrame, window: int = 30, key: str = "dayofyear", axis: str = "rows") -> DataFrame:
@@ -50,6 +52,33 @@ def composite_on_high_index(
     return composite_significance(target, dates) if significance else seasonal_composite(target, dates)
 
 
+def stored_composite(
+    field: DataFrame,
+    target: DataFrame,
+    n_lon: int,
+    folder: str,
+    inputs: tuple[str, str] = ("field", "target"),
+    band: tuple[int, int] = (1, 9),
+    threshold: str | float = "90pct",
+    significance: bool = False,
+) -> DataFrame:
+    """``composite_on_high_index`` in stages that are kept below ``folder``: ``index``, ``dates`` and ``composite``.
+
+    Each stage reads the stored one before it and notes its inputs in the table
+    ``lineage`` there; ``inputs`` names the two fields. Returns the stored composite.
+    """
+    spark, table = field.sparkSession, f"{folder}/lineage"
+    waves = f"envelope of wavenumbers {band[0]}-{band[1]} on {n_lon} longitudes"
+    sink_table(index_pwi(wave_envelope(field, *band, n_lon)), f"{folder}/index", Lineage(table, "index", {inputs[0]: waves}))
+    index = spark.read.parquet(f"{folder}/index")
+    chosen = threshold_dates(index, threshold, value="pwi").select(F.to_date("time").alias("date"))
+    sink_date_list(chosen, f"{folder}/dates", lineage=Lineage(table, "dates", {"index": f"days at or above {threshold}"}))
+    dates = scan_date_list(spark, f"{folder}/dates")
+    composite = composite_significance(target, dates) if significance else seasonal_composite(target, dates)
+    sink_table(composite, f"{folder}/composite", Lineage(table, "composite", {"dates": "days of the composite", inputs[1]: "values"}))
+    return spark.read.parquet(f"{folder}/composite")
+
+
 def wave_event_statistics(
     winds: DataFrame,
     targets: DataFrame,

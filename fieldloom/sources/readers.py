@@ -41,6 +41,16 @@ def scan_date_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_date_list(spark.read.text(path))
 
 
+# What a line of data begins with, by layout.
+DATA_LINES = {"date_list": r"^\s*\d{4}-\d{2}-\d{2}", "event_intervals": r"^\d{4}-\d{2}-\d{2},", "wide_monthly": r"^\s*\d{4}\s", "metric_table": r"^\s*\d{4}\s+\d{1,2}\s"}
+
+
+def unread_lines(lines: DataFrame, layout: str) -> DataFrame:
+    """``(value, lines)``: the different lines that a parser leaves out as headings or notes, with how often each comes; blank lines are not listed."""
+    left = lines.where((F.trim("value") != "") & ~F.col("value").rlike(DATA_LINES[layout]))
+    return left.groupBy("value").agg(F.count(F.lit(1)).alias("lines"))
+
+
 INTERVAL_SCHEMA = "start string, start_time string, end string, end_time string, flag string"
 
 
@@ -139,7 +149,8 @@ def filename_metadata(df: DataFrame, name: Column | None = None) -> DataFrame:
 def decode_epoch_time(df: DataFrame, units: str | Column, number: str = "time", out: str = "time") -> DataFrame:
     """Numeric ``<unit>s since <date> [<clock time>]`` to timestamps; a base without a day starts on the first.
 
-    Units are seconds to weeks, and whole calendar months and years; any other unit fails.
+    Units are seconds to weeks, and whole calendar months and years. Any other
+    unit, a fraction of a month or year, and a zone offset in the text fail.
     """
     unit_text = F.lit(units) if isinstance(units, str) else units
     full = F.lower(F.regexp_replace(unit_text, r"since (\d{4}-\d{1,2})$", "since $1-01"))
@@ -153,6 +164,10 @@ def decode_epoch_time(df: DataFrame, units: str | Column, number: str = "time",
     known = F.when(full.isNull() | seconds.isNotNull() | months.isNotNull(), F.lit(0.0)).otherwise(
         F.raise_error(F.concat(F.lit("unknown unit of time: "), full)).cast("double")
     )
+    zoned = full.rlike(r"since \S+?[t ]\s*\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?\s*([+-]\d|z\b|utc|gmt)|since \d{4}-\d{1,2}-\d{1,2}\s+[+-]\d")
+    broken = months.isNotNull() & (F.floor(F.col(number).cast("double")) != F.col(number).cast("double"))
+    known = known + F.when(zoned, F.raise_error(F.concat(F.lit("zone offset in a unit of time: "), full)).cast("double")).otherwise(F.lit(0.0))
+    known = known + F.when(broken, F.raise_error(F.concat(F.lit("fraction of a calendar unit: "), F.col(number).cast("string"), F.lit(" "), full)).cast("double")).otherwise(F.lit(0.0))
     micros = F.round((F.coalesce(F.col(number) * seconds, F.lit(0.0)) + start + known) * 1e6).cast("long")
     shift = F.make_dt_interval(days=F.lit(0), hours=F.lit(0), mins=F.lit(0), secs=(micros / F.lit(1e6)).cast("decimal(18,6)"))
     base = F.when(F.col(number).isNotNull(), day) + F.make_ym_interval(F.lit(0), F.coalesce(F.col(number) * months, F.lit(0)).cast("int"))

@@ -115,6 +115,33 @@ def test_regrid_constant_and_linear(spark):
     assert np.allclose(out.value.astype(float), 7)
 
 
+def test_second_order_weights_keep_integrals_and_slopes(spark):
+    """Targets that tile the source's domain: the area integral is kept to 1e-9, and a field linear in sine of latitude is reproduced."""
+    lats, lons = np.arange(-80, 81, 5.0), np.arange(0, 360, 10.0)
+    axes = (-80.0, 5.0, 33), (0.0, 10.0, 36)
+    edge = np.radians(np.stack([lats - 2.5, lats + 2.5]))
+    mid = dict(zip(lats, np.sin(edge).mean(axis=0)))
+    rough = np.random.default_rng(3).normal(size=(33, 36))
+    source = grid(lats, lons, value=lambda p, x: rough)
+    smooth = grid(lats, lons, value=lambda p, x: 3 + 2 * np.vectorize(lambda d: mid[round(d, 1)])(np.degrees(p).round(1)) + 0 * x)
+    targets = spark.createDataFrame(grid(np.arange(-75, 76, 15.0), np.arange(4, 360, 24.0))[["lat", "lon"]])
+    weights = align.conservative_weights(targets, *axes, 15.0, 24.0, order=2).cache()
+
+    def area(pdf, half):
+        return np.sin(np.radians(pdf.lat + half)) - np.sin(np.radians(pdf.lat - half))
+
+    out = align.sparse_weight_regrid(spark.createDataFrame(source), weights, *axes).toPandas()
+    whole = (source.value * area(source, 2.5)).sum() * 10
+    assert len(out) == 11 * 15 and abs((out.value * area(out, 7.5)).sum() * 24 - whole) < 1e-9
+    out = align.sparse_weight_regrid(spark.createDataFrame(smooth), weights, *axes).toPandas()
+    want = 3 + (np.sin(np.radians(out.lat - 7.5)) + np.sin(np.radians(out.lat + 7.5)))
+    assert np.allclose(out.value, want, atol=1e-12)
+    flat = align.sparse_weight_regrid(spark.createDataFrame(smooth), align.conservative_weights(targets, *axes, 15.0, 24.0), *axes).toPandas()
+    assert len(flat) == 11 * 15
+    with pytest.raises(ValueError):
+        align.conservative_weights(targets, *axes, 15.0, 24.0, order=3)
+
+
 def test_regrid_missing_source_is_null(spark):
     axes = (0.0, 10.0, 3), (0.0, 90.0, 4)
     source = spark.createDataFrame(grid([0.0, 10.0, 20.0], [0.0, 90.0, 180.0, 270.0], value=lambda p, x: 1 + 0 * x))

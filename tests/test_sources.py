@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import align, along, stats
 from fieldloom.sources import quality, readers, writers
-from fieldloom.streaming.incremental import incremental_years
+from fieldloom.operators.events import running_mean
+from fieldloom.streaming.incremental import climatology_of_state, incremental_years, update_climatology, update_running_mean
 
 
 def test_text_scans(spark, tmp_path):
@@ -27,12 +28,12 @@ def test_text_scans(spark, tmp_path):
 
 def test_interval_files(spark, tmp_path):
     text = "Land,,,,\nStart YYYY-MM-DD,Start Time UTC,End YYYY-MM-DD,End Time UTC,\n"
-    (tmp_path / "east_times.csv").write_text(text + "1992-11-21,15:00,1992-11-22,21:00,skirt\n")
-    (tmp_path / "west_times.csv").write_text(text + "1993-02-22,03:00,1993-02-24,21:00,,\n")
+    (tmp_path / "east_times.csv").write_text(text + "2031-05-06,09:00,2031-05-08,18:00,edge\n")
+    (tmp_path / "west_times.csv").write_text(text + "2032-10-11,12:00,2032-10-12,06:00,,\n")
     rows = readers.scan_event_intervals(spark, str(tmp_path)).orderBy("region").collect()
     assert [(r.region, str(r.start_ts), str(r.end_ts), r.flag) for r in rows] == [
-        ("east", "1992-11-21 15:00:00", "1992-11-22 21:00:00", "skirt"),
-        ("west", "1993-02-22 03:00:00", "1993-02-24 21:00:00", None),
+        ("east", "2031-05-06 09:00:00", "2031-05-08 18:00:00", "edge"),
+        ("west", "2032-10-11 12:00:00", "2032-10-12 06:00:00", None),
     ]
 
 
@@ -47,18 +48,73 @@ def test_epoch_units(spark):
         assert str(readers.decode_epoch_time(df, units).first().time) == want
 
 
+def test_epoch_texts_that_fail(spark):
+    df = spark.createDataFrame([(1.5,)], "time double")
+    for units, number, message in (("months since 2000-01", 1.5, "fraction"), ("years since 2000-1-1", 0.5, "fraction"), ("days since 2000-01-01 06:00 +05:00", 1.0, "zone"), ("hours since 2000-01-01t00:00:00z", 1.0, "zone"), ("days since 2000-01-01 -03", 1.0, "zone")):
+        with pytest.raises(Exception, match=message):
+            readers.decode_epoch_time(df.withColumn("time", F.lit(number)), units).collect()
+    assert str(readers.decode_epoch_time(df.withColumn("time", F.lit(2.0)), "months since 2000-01").first().time) == "2000-03-01 00:00:00"
+    assert str(readers.decode_epoch_time(df, "days since 2000-01-01 06:30").first().time) == "2000-01-02 18:30:00"
+
+
+def test_axis_rules(spark):
+    def rules(df, cyclic=True):
+        return {r.rule: r.violations for r in quality.axis_check(df, cyclic).collect()}
+
+    whole = spark.sql("SELECT explode(sequence(1, 3)) AS time").crossJoin(spark.sql("SELECT explode(array(-10D, 0D, 10D)) AS lat")).crossJoin(spark.sql("SELECT explode(array(0D, 90D, 180D, 270D)) AS lon"))
+    assert set(rules(whole).values()) == {0}
+    holes = whole.where("not (time = 1 and lat = 0 and lon = 90) and not (time = 2 and lat = 10)").unionAll(whole.where("time = 3 and lon = 0")).unionAll(whole.where("time = 3 and lon = 0"))
+    assert rules(holes) == {"repeated_cells": 6, "lat_uneven": 0, "lon_uneven": 0, "incomplete_circles": 1, "incomplete_times": 1}
+    odd = whole.where("lat <> 0 and lon <> 90")
+    assert rules(odd)["lon_uneven"] == 1 and rules(odd)["lat_uneven"] == 0
+    half = whole.where("lon < 200")
+    assert rules(half)["lon_uneven"] == 1 and rules(half, cyclic=False)["lon_uneven"] == 0
+    assert set(rules(whole.limit(0)).values()) == {0}
+
+
+def test_ancestors(spark, tmp_path):
+    path = str(tmp_path / "lineage")
+    for output, inputs in (("b", {"a": "one"}), ("c", {"b": "two", "x": "three"}), ("d", {"c": "four", "a": "five"}), ("b", {"a": "again"})):
+        writers.append_lineage(spark, path, output, inputs)
+    got = {(r.output, r.ancestor): (r.steps, r.history) for r in writers.ancestors(spark.read.parquet(path)).collect()}
+    assert got[("d", "a")] == (1, "five") and got[("d", "x")] == (2, "three") and got[("c", "a")] == (2, "again") and len(got) == 8
+
+
+def test_replaced_years_equal_a_full_computation(spark, tmp_path):
+    rows = spark.sql(
+        "SELECT CAST(make_date(2000 + CAST(floor(m / 12) AS INT), CAST(m % 12 AS INT) + 1, 15) AS TIMESTAMP_NTZ) AS time, 0D AS lat, 0D AS lon, CAST(hash(m) % 1000 AS DOUBLE) + 1e9 AS value "
+        "FROM (SELECT explode(sequence(0, 71)) AS m)"
+    )
+    changed = rows.withColumn("value", F.when(F.year("time").isin(2001, 2002, 2004), F.col("value") * 2).otherwise(F.col("value")))
+    state, smooth = str(tmp_path / "state"), str(tmp_path / "smooth")
+    update_climatology(rows, range(2000, 2006), state)
+    update_climatology(changed, [2001, 2002, 2004], state)
+    got = {r.key: (r.clim_mean, r.clim_std) for r in climatology_of_state(spark.read.parquet(state)).collect()}
+    want = {r.key: (r.clim_mean, r.clim_std) for r in stats.climatology(changed, "monthly").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+    def mean(df):
+        return running_mean(df, 7, by=["lat", "lon"])
+
+    update_running_mean(rows, range(2000, 2006), 3, mean, smooth)
+    update_running_mean(changed, [2001, 2002, 2004], 3, mean, smooth)
+    got = {r.time: r.value for r in spark.read.parquet(smooth).collect()}
+    want = {r.time: r.value for r in mean(changed).collect()}
+    assert got == pytest.approx(want) and len(got) == 66
+
+
 def test_file_names(spark):
-    df = spark.createDataFrame([("/x/tas_Merra_surface_daily-anom-wrt-1979-2011-JJA_y181x360-sh-mermax-np20N260E.nc",)], "n string")
+    df = spark.createDataFrame([("/x/hum_Invented_low_daily-anom-wrt-2031-2040-MAM_y19x36-nh-mermax-np30N120E.nc",)], "n string")
     row = readers.filename_metadata(df, F.col("n")).first()
     assert (row["var"], row.dataset, row.level, row.tstep, row.aggregation, row.season) == (
-        "tas",
-        "Merra",
-        "surface",
+        "hum",
+        "Invented",
+        "low",
         "daily",
-        "anom-wrt-1979-2011",
-        "JJA",
+        "anom-wrt-2031-2040",
+        "MAM",
     )
-    assert (row.grid, row.region, row.bounds, row.north_pole) == ("y181x360", "sh", "mermax", "np20N260E")
+    assert (row.grid, row.region, row.bounds, row.north_pole) == ("y19x36", "nh", "mermax", "np30N120E")
 
 
 def yearly(spark):

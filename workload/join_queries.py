@@ -155,6 +155,29 @@ def _(spark, d):
     return align.sparse_weight_regrid(views.field(spark, d), weights, LAT_AXIS, LON_AXIS)
 
 
+_SECOND = """
+    WITH src AS (SELECT time, lat, lon, value, CAST((lat + 80) / 5 AS INTEGER) AS i, (sin(radians(lat - 2.5)) + sin(radians(lat + 2.5))) / 2 AS mid FROM field),
+    sloped AS (
+        SELECT *, (coalesce(lead(value) OVER up, value) - coalesce(lag(value) OVER up, value)) / (coalesce(lead(mid) OVER up, mid) - coalesce(lag(mid) OVER up, mid)) AS gn,
+               (coalesce(lead(value) OVER around, first_value(value) OVER around) - coalesce(lag(value) OVER around, last_value(value) OVER (around ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) / 20 AS ge
+        FROM src WINDOW up AS (PARTITION BY time, lon ORDER BY lat), around AS (PARTITION BY time, lat ORDER BY lon)),
+    turned AS (SELECT *, lon AS flon FROM sloped UNION ALL SELECT *, lon - 360 FROM sloped),
+    overlap AS (
+        SELECT f.time, t.lat, t.lon, f.value, gn, ge, mid, flon, (sin(radians(t.lat + 5)) - sin(radians(t.lat - 5))) * 15 AS area,
+               sin(radians(least(t.lat + 5, f.lat + 2.5))) AS top, sin(radians(greatest(t.lat - 5, f.lat - 2.5))) AS bottom,
+               least(t.lon + 7.5, f.flon + 5) AS e, greatest(t.lon - 7.5, f.flon - 5) AS w
+        FROM (SELECT CAST(-70 + 10 * i AS DOUBLE) AS lat, CAST(15 * j AS DOUBLE) AS lon FROM range(7) a(i), range(24) b(j)) t
+        JOIN turned f ON f.lat + 2.5 > t.lat - 5 AND f.lat - 2.5 < t.lat + 5 AND f.flon + 5 > t.lon - 7.5 AND f.flon - 5 < t.lon + 7.5)
+    SELECT time, lat, lon, sum((top - bottom) * (e - w) / area * (value + gn * ((top + bottom) / 2 - mid) + ge * ((e + w) / 2 - flon))) AS value FROM overlap GROUP BY ALL"""
+
+
+@query("conservative_regrid_second", CELLS, _SECOND)
+def _(spark, d):
+    targets = _targets(spark, 10.0, 7, -70.0, 15.0, 24, 0.0)
+    weights = align.conservative_weights(targets, LAT_AXIS, LON_AXIS, 10.0, 15.0, order=2)
+    return align.sparse_weight_regrid(views.field(spark, d), weights, LAT_AXIS, LON_AXIS)
+
+
 # Set operations.
 
 

@@ -267,6 +267,22 @@ def _(spark, d):
     )
 
 
+@query("run_details", "p_partkey:i model:s experiment:s run:s", """
+    SELECT p_partkey, 'M' || (p_partkey % 7) AS model, CASE WHEN p_size % 2 = 0 THEN 'historical' ELSE 'control' END AS experiment,
+           'r' || (p_partkey % 10) || 'i' || (p_size % 3) || 'p' || (p_size % 2) AS run FROM part""")
+def _(spark, d):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    model, experiment = F.concat(F.lit("M"), (key % 7).cast("string")), F.when(size % 2 == 0, "historical").otherwise("control")
+    return views.table(spark, d, "part").select("p_partkey", scalars.run_details(model, experiment, key % 10, size % 3, size % 2).alias("r")).select("p_partkey", "r.*")
+
+
+@query("local_date", "event_id:i date:d", """
+    SELECT event_id, CAST(ts + to_hours(CASE event_id % 3 WHEN 0 THEN 10 WHEN 1 THEN -8 ELSE 0 END) AS DATE) AS date FROM events""")
+def _(spark, d):
+    zone = F.when(F.col("event_id") % 3 == 0, "+10:00").when(F.col("event_id") % 3 == 1, "-08:00").otherwise("UTC")
+    return views.table(spark, d, "events").select("event_id", scalars.local_date("ts", zone).alias("date"))
+
+
 @query("wind_speed", "time:d lat lon spd:6", "SELECT time, lat, lon, sqrt(u * u + v * v) AS spd FROM wind")
 def _(spark, d):
     return views.wind(spark, d).withColumn("spd", scalars.wind_speed("u", "v"))

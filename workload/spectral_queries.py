@@ -184,6 +184,13 @@ def _(spark, d):
     return spectral.local_extrema(views.field(spark, d))
 
 
+@query("local_extrema_series", "time:d value:6 kind:s", """
+    SELECT time, value, kind FROM (SELECT time, value, CASE WHEN value > before AND value > after THEN 'max' WHEN value < before AND value < after THEN 'min' END AS kind FROM (
+        SELECT time, value, lag(value) OVER w AS before, lead(value) OVER w AS after FROM series WINDOW w AS (ORDER BY time))) WHERE kind IS NOT NULL""")
+def _(spark, d):
+    return spectral.local_extrema(views.series(spark, d), "time", by=[], wrap=False)
+
+
 @query("fourier_information", "time:d wave1_amp:6 wave3_amp:6 wave3_phase:3 wave9_amp:6 env_max:6 sign_count:i", """
     WITH s AS (SELECT time, k, lon, 2.0 / 36 * (re * cos(radians(k * lon)) - im * sin(radians(k * lon))) AS s,
                       2.0 / 36 * (re * sin(radians(k * lon)) + im * cos(radians(k * lon))) AS i FROM band_dft CROSS JOIN lon_axis),
