@@ -78,6 +78,10 @@ def _edge(steps: DataFrame, step: str) -> DataFrame:
     )
 
 
+RESULTS = ("size", "source_size", "target", "taken")
+OWN = "mix_own_"
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -90,10 +94,11 @@ def mix(
 ) -> DataFrame:
     """``docs`` with size, source_size, target and taken (words that the mix takes of the row, repeats counted).
 
-    ``size`` and ``quality`` are expressions over ``docs``; ``quality`` must be positive. Weights go round over the sources in code point order.
+    ``size`` and ``quality`` are expressions over ``docs``; ``quality`` must be positive. Weights go round over the sources in code point order. Columns of
+    ``docs`` that are named like a result come back as ``mix_own_<name>``.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    rows = docs.select(*own, size.cast("long").alias("mix_size"), quality.cast("double").alias("mix_quality"))
+    own = [OWN + c if c in RESULTS else c for c in docs.columns]
+    rows = docs.select(*[F.col(c.removeprefix(OWN)).alias(c) for c in own], size.cast("long").alias("mix_size"), quality.cast("double").alias("mix_quality"))
     rows = rows.withColumn("mix_u", uniform(F.col(doc_id), seed)).withColumn("mix_key", -F.log("mix_u") / F.col("mix_quality"))
     place = (1 - F.exp(-F.col("mix_key"))) * STEPS
     rows = rows.withColumn("mix_step", F.least(F.floor(place), F.lit(STEPS - 1)).cast("int"))
@@ -151,7 +156,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 def repeated_documents(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: every document as often as it is taken; the copy that is taken in part keeps its first words, joined by single spaces."""
-    own = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken")]
+    own = [F.col(c).alias(c.removeprefix(OWN)) for c in mixed.columns if c not in RESULTS]
     rows = mixed.where(F.col("taken") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.least(F.col("size"), F.col("taken") - (F.col("mix_copy") - 1) * F.col("size")).cast("int")
     cut = F.array_join(F.slice(words(F.col(text)), F.lit(1), left), " ")

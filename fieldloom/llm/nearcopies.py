@@ -338,11 +338,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
     def keys(rows: DataFrame) -> DataFrame:
         return rows.select(F.col("id").alias("dup_id"), F.col("body").alias("dup_body"))
 
-    rows = docs.withColumn("dup_own", _body(text))
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("dup_id")) & (F.col("dup_own") == F.col("dup_body"))
+    # The documents as one column each, so that no name of theirs meets one used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("own_id"), _body(text).alias("own_body"))
+    same = F.col("own_id").eqNullSafe(F.col("dup_id")) & F.col("own_body").eqNullSafe(F.col("dup_body"))
     rows = rows.join(keys(marked.where(~F.col("kept"))).distinct(), same, "left_anti")
     again = written(keys(marked.where("kept AND n > 0")).groupBy("dup_id", "dup_body").count().where("count > 1").drop("count"), "again")
     if not again.isEmpty():
         once, often = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
-        rows = once.unionByName(often.dropDuplicates([doc_id, "dup_own"]))
-    return rows.select(docs.columns)
+        rows = once.unionByName(often.dropDuplicates(["own_id", "own_body"]))
+    return rows.select("row.*")

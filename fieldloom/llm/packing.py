@@ -158,7 +158,7 @@ def _rows(segments: list[tuple], length: int, dtype: np.dtype, pad: int) -> pa.R
 def pack(
     docs: DataFrame, length: int = 2048, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end: int | None = END_OF_TEXT, group_tokens: int = 1 << 20
 ) -> DataFrame:
-    """The packed rows of all documents, with a ``pack_id``. ``tokenizer`` is a path that every executor has."""
+    """The packed rows of all documents, with a ``pack_id`` and the ``row_length`` of the matrix. ``tokenizer`` is a path that every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
@@ -179,7 +179,7 @@ def pack(
             yield _rows(group, length, encode.dtype, pad)
 
     packed = docs.select(F.col(doc_id).cast("bigint"), F.col(text).cast("string")).mapInArrow(run, SCHEMA)
-    return packed.select(F.monotonically_increasing_id().alias("pack_id"), *[f.name for f in _ARROW])
+    return packed.select(F.monotonically_increasing_id().alias("pack_id"), *[f.name for f in _ARROW], F.lit(length).alias("row_length"))
 
 
 def position_ids(position_resets: list[int], n_tokens: int, length: int) -> np.ndarray:
@@ -192,13 +192,13 @@ def position_ids(position_resets: list[int], n_tokens: int, length: int) -> np.n
     return out
 
 
-def write_packed(packed: DataFrame, path: str, length: int = 2048) -> None:
+def write_packed(packed: DataFrame, path: str) -> None:
     """Store the matrix for a loader: ids and position ids as little-endian binary lines, and the cumulative segment lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("position_resets").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)
-            places = pa.array([position_ids(r, n, length).astype("<u4").tobytes() for r, n in pairs], pa.binary())
+            rows = zip(*(batch.column(c).to_pylist() for c in ("position_resets", "n_tokens", "row_length")), strict=True)
+            places = pa.array([position_ids(*row).astype("<u4").tobytes() for row in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pack_id", "ids", "cu_seqlens")), places], ["pack_id", "ids", "cu_seqlens", "position_ids"])
 
     packed.mapInArrow(run, "pack_id bigint, ids binary, cu_seqlens array<int>, position_ids binary").write.parquet(path)
@@ -206,8 +206,8 @@ def write_packed(packed: DataFrame, path: str, length: int = 2048) -> None:
 
 def unpack(packed: DataFrame) -> DataFrame:
     """The segments again, as (doc_id, doc_start, ids binary): joined in the order of doc_start they are the documents."""
-    wide = F.octet_length("ids") / F.lit(2048)
-    parts = packed.select("ids", "cu_seqlens", F.arrays_zip("doc_ids", "doc_starts", "position_resets").alias("parts"), F.size("doc_ids").alias("n"))
+    wide = F.octet_length("ids") / F.col("row_length")
+    parts = packed.select("ids", "cu_seqlens", "row_length", F.arrays_zip("doc_ids", "doc_starts", "position_resets").alias("parts"), F.size("doc_ids").alias("n"))
     rows = parts.select("ids", "cu_seqlens", wide.cast("int").alias("wide"), F.posexplode("parts").alias("k", "part"))
     start, stop = F.col("part.position_resets"), F.element_at("cu_seqlens", F.col("k") + 2)
     return rows.select(

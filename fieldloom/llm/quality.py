@@ -30,9 +30,9 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_l
     if not rows:
         return [], counts
     wanted = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in rows], "id long, label int")  # bounded by per_label
-    found = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["id"])
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    found = found.select("label", F.xxhash64("id", "text").alias("at"), "id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    found = texts.join(F.broadcast(wanted), "id").select("label", F.xxhash64("id", "text").alias("at"), "id", "text", "lang")
     found = first_of_label(found, per_label).collect()  # an id may have many texts
     return sorted(found, key=lambda r: (r["label"], str(r["id"]), r["text"])), counts
 

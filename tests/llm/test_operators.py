@@ -229,7 +229,7 @@ def test_mix_meets_targets(spark, docs, empty):
     again = {r.doc_id: r.taken for r in mixing.mix_documents(full.repartition(5)).collect()}
     assert again == {r.doc_id: r.taken for r in got}
     text = mixing.repeated_documents(mixed)
-    assert text.columns == [c for c in full.columns if c != "size"]
+    assert text.columns == full.columns and {r["size"] for r in text.collect()} == {"x"}
     assert sum(len(WORD.findall(r.text)) for r in text.collect()) == sum(r.taken for r in got)
     assert mixing.mix_documents(empty).count() == 0
 

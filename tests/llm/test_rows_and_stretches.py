@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldloom.llm import substrings, suffixes
+from fieldloom.llm import mixing, nearcopies, packing, quality, substrings, suffixes, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -109,3 +109,34 @@ def test_contexts_compare_like_their_bytes():
         if tails[k][0] == tails[k - 1][0]:
             a, b = tails[k - 1][1], tails[k][1]
             assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("length", [64, 512, 2048])
+def test_rows_of_any_length_unpack(spark, tmp_path, length):
+    texts = [(i, words(5 + 90 * i, i)) for i in range(12)] + [(99, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    packed = packing.pack(docs, length=length)
+    encode = packing.Encoder(packing.TOKENIZER)
+    parts: dict = {}
+    for r in packing.unpack(packed).collect():
+        parts.setdefault(r.doc_id, []).append((r.doc_start, bytes(r.ids)))
+    for i, text in texts:
+        ids = np.frombuffer(b"".join(p for _, p in sorted(parts[i])), "<u2").tolist()
+        assert ids[-1] == packing.END_OF_TEXT and encode.coder.decode(ids[:-1]) == (text or "")
+    packing.write_packed(packed, str(tmp_path / "out"))
+    stored = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert all(len(r.position_ids) == 4 * length and len(r.ids) == 2 * length for r in stored)
+
+
+def test_columns_named_like_ours(spark):
+    names = ["id", "label", "dup_id", "dup_body", "own_id", "row", "size", "target", "source_size", "taken", "score", "node", "lang"]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names)
+    rows = [(i, words(40, i % 9), f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, schema)
+    marks = spark.createDataFrame([(i, i % 2, i % 2, i) for i in range(30)], "doc_id bigint, quality int, toxic int, id int")
+    kept = nearcopies.keep_one(docs, 5).collect()
+    assert len(kept) == 9 and all(r.dup_id == f"dup_id{r.doc_id}" and r.row == f"row{r.doc_id}" for r in kept)
+    mixed = mixing.repeated_documents(mixing.mix_documents(docs))
+    assert mixed.columns == docs.columns and all(r["target"] == f"target{r.doc_id}" for r in mixed.collect())
+    assert quality.score(docs, quality.fit(docs, marks)).where("score between 0 and 1").count() == 30
+    assert toxicity.score(docs, toxicity.fit(docs, marks)).where("score between 0 and 1").count() == 30
