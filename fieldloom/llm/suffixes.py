@@ -81,8 +81,8 @@ class Anchors:
         return at[new], h[new], new, np.append(new[1:], len(at)) - 1
 
 
-KEYS = "bucket int, part int, keys binary, counts binary"
-_KEYS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+KEYS = "bucket int, keys binary, owners binary, counts binary"
+_KEYS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 
 
 def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -90,17 +90,16 @@ def _packed(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def send_keys(keys: np.ndarray, parts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Each key of a batch once for each part that owns it, with the number of its anchors there."""
-    bucket = np.searchsorted(bucket_floor(buckets), keys, "right") - 1
-    order = np.lexsort((keys, parts, bucket))
-    keys, parts, bucket = keys[order], parts[order], bucket[order]
+    """Each key of a batch once for each part that owns it, with the number of its anchors there: a row per bucket."""
+    order = np.lexsort((parts, keys))  # buckets are ranges of keys
+    keys, parts = keys[order], parts[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])
     first = np.flatnonzero(new)
-    counts = np.diff(np.append(first, len(keys))).astype(np.int64)
-    keys, parts, bucket = keys[first], parts[first], bucket[first]
-    cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(parts) != 0)) + 1).tolist(), len(keys)]
-    rows = [(int(bucket[a]), int(parts[a]), keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    counts = np.diff(np.append(first, len(keys))).astype(np.int32)
+    keys, parts = keys[first], parts[first].astype(np.int32)
+    edges = np.append(np.searchsorted(keys, bucket_floor(buckets)), len(keys)).tolist()
+    rows = [(k, keys[a:b].tobytes(), parts[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     return _packed(rows, _KEYS)
 
 
@@ -112,16 +111,18 @@ def repeated(hot: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in runs_of(batches, "bucket"):
-            keys = [as_numbers(k) for k in rows["keys"]]
-            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(every), np.int64)
-            np.add.at(total, inverse, np.concatenate([np.frombuffer(c, np.int64) for c in rows["counts"]]))
-            back, at = [], 0
-            for part, k in zip(rows["part"], keys, strict=True):
-                count = total[inverse[at : at + len(k)]]
-                at += len(k)
-                if (count > 1).any():
-                    back.append((part, k[count > 1].tobytes(), (count[count > 1] > hot).tobytes()))
+            keys = np.concatenate([as_numbers(k) for k in rows["keys"]])
+            owners, counts = (np.concatenate([np.frombuffer(x, np.int32) for x in rows[c]]) for c in ("owners", "counts"))
+            _, inverse = np.unique(keys, return_inverse=True)
+            total = np.bincount(inverse, counts)[inverse]
+            again = total > 1
+            order = np.lexsort((keys[again], owners[again]))
+            keys, owners, many = keys[again][order], owners[again][order], (total[again] > hot)[order]
+            new = np.ones(len(keys), bool)  # a key once a part, however many batches sent it
+            new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+            keys, owners, many = keys[new], owners[new], many[new]
+            cuts = [0, *(np.flatnonzero(np.diff(owners)) + 1).tolist(), len(keys)]
+            back = [(int(owners[a]), keys[a:b].tobytes(), many[a:b].tobytes()) for a, b in zip(cuts, cuts[1:]) if b > a]
             yield _packed(back, _AGAIN)
 
     return run
