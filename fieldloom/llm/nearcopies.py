@@ -34,7 +34,7 @@ from fieldloom.llm.substrings import NULL_ID, Words
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 BLOCK = 1024
-PAIRS = 1 << 15
+PAIRS = 1 << 13
 
 
 def lowered(text: bytes | None) -> bytes:
