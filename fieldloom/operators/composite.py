@@ -123,7 +123,8 @@ def effective_sample_size(
 ) -> DataFrame:
     """``(by..., n, mean, var, n_eff)`` with ``n_eff = n / (1 + 2 sum((n-k)/n r_k))``, k = 1..n-2.
 
-    The selected times are treated as contiguous. The sum over all lags needs no
+    One or two times have no such lag, so ``n_eff`` is ``n``; of three and more equal
+    values it is NULL, as they have no autocorrelation. The selected times are treated as contiguous. The sum over all lags needs no
     lag pairs: with anomalies x and their running sums P, the weighted lag sum
     equals ``(sum P^2 - n/2 sum x^2 - x_first x_last) / (n sum x^2)``, since the
     sums over all windows of length n are P and -P. Running sums are taken in
@@ -169,7 +170,7 @@ def effective_sample_size(
     )
     n, xx = F.col("n"), F.col("_xx")
     lag_sum = (F.col("_pp") - n / 2 * xx - F.col("_x1") * F.col("_xn")) / (n * xx)
-    n_eff = F.when(xx > 0, n / (1 + 2 * lag_sum))
+    n_eff = F.when(n <= 2, n.cast("double")).when(xx > 0, n / (1 + 2 * lag_sum))
     return whole.select(*by, "n", "mean", (xx / n).alias("var"), n_eff.alias("n_eff"))
 
 
@@ -185,7 +186,8 @@ def composite_significance(
     """One-sample t-test of the composite against all times, per season and cell.
 
     ``(season, by..., n, mean, mean_all, n_eff, t, p)``; ``dof='neff'`` uses the
-    effective sample size for the degrees of freedom instead of n.
+    effective sample size for the degrees of freedom instead of n. A sample without
+    spread, such as a single time, has an infinite t with the sign of the difference.
     """
     keys = ["season", *by]
     chosen = date_semi_join(df, dates, time, date).withColumn(
@@ -193,7 +195,9 @@ def composite_significance(
     )
     sample = effective_sample_size(chosen, keys, value, time)
     reference = seasonal_composite(df, None, by, value, time).select(*keys, F.col(value).alias("mean_all"))
-    t = (F.col("mean") - F.col("mean_all")) / F.sqrt(F.col("var") / F.col("n_eff"))
+    difference, spread = F.col("mean") - F.col("mean_all"), F.col("var") / F.col("n_eff")
+    endless = F.when(difference != 0, F.signum(difference) * F.lit(float("inf")))
+    t = F.when(spread == 0, endless).otherwise(difference / F.sqrt(spread))
     freedom = (F.col("n") if dof == "n" else F.col("n_eff")) - 1
     tested = sample.join(reference, keys, "inner").withColumn("t", t)
     return tested.select(

@@ -66,6 +66,19 @@ def test_significance(spark, dof):
             assert row.p == pytest.approx(float(two_sided_p(np.array([t]), np.array([freedom]))[0]), rel=1e-6, abs=1e-9)
 
 
+def test_significance_of_one_or_two_times(spark):
+    """No lag enters the formula: n_eff is n. A single time has no spread, so t is infinite, and no freedom, so p is NULL."""
+    values = {"2001-01-05": 1.0, "2001-02-05": 4.0, "2001-04-05": 2.0, "2001-05-05": 6.0, "2001-07-05": 9.0, "2001-08-05": 5.0, "2001-10-05": 3.0, "2001-11-05": 3.0}
+    pdf = pd.DataFrame({"time": pd.to_datetime(list(values)), "lat": 0.0, "lon": 5.0, "value": list(values.values())})
+    dates = spark.createDataFrame([(d,) for d in ("2001-01-05", "2001-02-05", "2001-04-05", "2001-07-05", "2001-10-05")], "date string")
+    got = composite.composite_significance(to_spark(spark, pdf), dates).toPandas().set_index("season")
+    assert got.n.to_dict() == {"annual": 5, "DJF": 2, "MAM": 1, "JJA": 1, "SON": 1}
+    assert got.n_eff.drop("annual").to_dict() == {"DJF": 2.0, "MAM": 1.0, "JJA": 1.0, "SON": 1.0}
+    assert got.t["DJF"] == 0.0 and got.t["MAM"] == -np.inf and got.t["JJA"] == np.inf
+    assert np.isnan(got.t["SON"])  # no spread and no difference
+    assert got.p["DJF"] == pytest.approx(1.0) and got.p[["MAM", "JJA", "SON"]].isna().all()
+
+
 def test_composite_without_dates_and_annual_row(spark):
     pdf = field(n=400)
     got = composite.seasonal_composite(to_spark(spark, pdf)).toPandas().set_index(["season", "lat"])
