@@ -5,6 +5,7 @@ from fieldloom.operators import align, along, stats
 from fieldloom.sources import quality, readers, writers
 from fieldloom.operators.events import running_mean
 from fieldloom.streaming.incremental import climatology_of_state, incremental_years, update_climatology, update_running_mean
+from workload.catalog import QUERIES
 
 
 def test_text_scans(spark, tmp_path):
@@ -213,3 +214,25 @@ def test_interval_join_pairs_neighbours_only(spark):
     a, b = align._binned(rows, spans, "time", "start_ts", "end_ts")
     assert a.join(b, ["_width", "_bin"]).count() < 6 * len(found)  # all pairs of the day: about 250,000
     assert align.interval_join(rows, spans.limit(0)).count() == 0
+
+
+def test_interval_join_bins_are_much_finer_than_intervals(spark):
+    """Nearly all rows that meet an interval in a bin lie within it, and no interval is listed more than nine times."""
+    start = F.lit("2020-02-01").cast("timestamp_ntz")
+    rows = spark.range(3000).select((start + F.make_dt_interval(secs=(F.col("id") * 7919) % 86400)).alias("time"), F.col("id").alias("row")).cache()
+    spans = spark.range(600).select("id", (start + F.make_dt_interval(secs=(F.col("id") * 6151) % 86400)).alias("start_ts"))
+    spans = spans.withColumn("end_ts", F.col("start_ts") + F.make_dt_interval(mins=(F.col("id") % 30).cast("int"))).cache()
+    found = align.interval_join(rows, spans).count()
+    plain = rows.toPandas().merge(spans.toPandas(), how="cross")
+    assert found == int(((plain.time >= plain.start_ts) & (plain.time <= plain.end_ts)).sum()) > 10_000
+    a, b = align._binned(rows, spans, "time", "start_ts", "end_ts")
+    assert found <= a.join(b, ["_width", "_bin"]).count() < 1.6 * found
+    assert b.count() <= 9 * 600
+
+
+def test_interval_join_query_writes_out_events_before_they_are_paired(spark):
+    """Text is made once an event and not once a pair: no date is formatted above the join."""
+    plan = QUERIES["interval_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    top = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert not any("date_format" in line for line in lines[:top]) and any("date_format" in line for line in lines[top:])
