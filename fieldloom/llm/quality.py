@@ -22,17 +22,26 @@ from fieldloom.llm.language import first_of_label, sample_by_label
 SHAPE = subword.Shape(buckets=1 << 15, dim=16, grams=(3, 4), lower=False)
 
 
+def marks_of(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, label) of the rows to learn from."""
+    return labels.where(learn & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(id, text, lang) with whole texts, null ones empty."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+
+
 def sampled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_label: int) -> tuple[list, dict]:
     """A bounded sample (label, text, id, lang) and the number of labelled rows of each label. Labels are thinned before the texts are joined to them."""
-    marks = labels.where(learn & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    marks = marks_of(labels, label, learn)
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     rows = sample_by_label(marks.select("label", F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text")), per_label)
     if not rows:
         return [], counts
     wanted = docs.sparkSession.createDataFrame([(r["id"], r["label"]) for r in rows], "id long, label int")  # bounded by per_label
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    found = texts.join(F.broadcast(wanted), "id").select("label", F.xxhash64("id", "text").alias("at"), "id", "text", "lang")
+    found = texts_of(docs).join(F.broadcast(wanted), "id").select("label", F.xxhash64("id", "text").alias("at"), "id", "text", "lang")
     found = first_of_label(found, per_label).collect()  # an id may have many texts
     return sorted(found, key=lambda r: (r["label"], str(r["id"]), r["text"])), counts
 

@@ -4,9 +4,10 @@ A text is a row of word ids. Words are hashed (crc32 of the lower-cased word); e
 others share a vector of zeros, so that words never seen cannot speak for either class through a chance collision. Filters of widths 1, 2 and 3 slide over the word vectors, each keeps its
 highest answer, and a logistic layer reads these. Training backpropagates through the winning windows only, with Adagrad steps.
 
-The sample holds at most ``fit_rows`` labelled documents of each class, chosen by a hash of the id; a fifth of it is held back for the temperature, and for
-thresholds by language: the lowest score at which precision on held-back rows of the language is at least ``precision`` (0.7 where a language has too few
-rows). The language picks a threshold only and is no input of the score. Texts are scored whole, in overlapping stretches of bounded length.
+The network's weights and its vocabulary are learned from a sample of at most ``fit_rows`` labelled documents of each class, chosen by a hash of the id,
+less a fifth. Temperature and thresholds come from every labelled row that the weights did not see, the classes weighed by their share in all labelled rows.
+A language's threshold is the lowest score at which its precision is at least ``precision`` (0.7 where a language has too few rows). The language picks a
+threshold only and is no input of the score. Texts are scored whole, in overlapping stretches of bounded length.
 
 Defined cases: a null or empty text pools to zero and gets the score of the bias; without both labels every score is the label's share (0.5 without any);
 with fewer than 100 rows in the sample none is held back: scores have no temperature and every language has the threshold 0.7; repeated rows score alike; an empty table gives an empty result.
@@ -22,10 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.quality import sampled
+from fieldloom.llm.common import written
+from fieldloom.llm.quality import marks_of, sampled, texts_of
 
 WIDTHS = (1, 2, 3)
 _TOKEN = re.compile(r"[^\W_]+")
@@ -110,10 +112,17 @@ def pooled(net: Network, ids: np.ndarray, stretch: int = 4096) -> tuple[np.ndarr
     return np.maximum(best, 0), where
 
 
+def answer(net: Network, ids: np.ndarray) -> float:
+    """What the text adds to the bias; nothing if it has no words."""
+    return float(pooled(net, ids)[0] @ net.out) if len(ids) else 0.0
+
+
 def logit(net: Network, ids: np.ndarray) -> float:
-    if not len(ids):
-        return net.bias
-    return float(pooled(net, ids)[0] @ net.out) + net.bias
+    return answer(net, ids) + net.bias
+
+
+def probability(net: Network, z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z / net.slope, -30, 30)))
 
 
 def train(texts: list[np.ndarray], targets: np.ndarray, hashes: np.ndarray, dim: int = 16, n: int = 12, epochs: int = 8, seed: int = 5) -> Network:
@@ -167,7 +176,7 @@ def train(texts: list[np.ndarray], targets: np.ndarray, hashes: np.ndarray, dim:
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, fit_rows: int = 2_000, precision: float = 0.95
 ) -> Network | float:
-    """The network; a plain share where one label or none is there. Brings at most ``2 * fit_rows`` texts to the driver."""
+    """The network; a plain share where one label or none is there. Brings at most ``2 * fit_rows`` texts to the driver. ``learn`` is a condition on doc_id."""
     rows, counts = sampled(docs, labels, label, F.lit(True) if learn is None else learn, fit_rows)
     total = sum(counts.values())
     if len({r["label"] for r in rows}) < 2:
@@ -179,34 +188,77 @@ def fit(
     to_ids = WordIds(hashes)
     texts = [to_ids(rows[i]["text"]) for i in order]
     net = train([t for t, h in zip(texts, held, strict=True) if not h], targets[~held], hashes)
-    if held.any():
-        z = np.array([logit(net, t) for t, h in zip(texts, held, strict=True) if h])
-        truth = targets[held]
-        losses = [np.logaddexp(0, -np.where(truth == 1, z, -z) / s).mean() for s in np.geomspace(0.5, 4, 31)]
-        net.slope = float(np.geomspace(0.5, 4, 31)[int(np.argmin(losses))])
     # The sample holds the classes more evenly than the labels do; the odds of all labelled rows are put back.
     seen, true = targets.mean(), counts.get(1, 0) / total
-    net.bias += net.slope * float(np.log(true / (1 - true)) - np.log(seen / (1 - seen)))
-    if held.any():
-        langs = [rows[i]["lang"] for i, h in zip(order, held, strict=True) if h]
-        calibrate_thresholds(net, langs, [t for t, h in zip(texts, held, strict=True) if h], targets[held], precision)
-    return net
+    shift = float(np.log(true / (1 - true)) - np.log(seen / (1 - seen)))
+    if not held.any():
+        net.bias += shift
+        return net
+    trained = [(rows[i]["id"], rows[i]["at"]) for i, h in zip(order, held, strict=True) if not h]
+    learn = F.lit(True) if learn is None else learn
+    answers = written(answered(docs.where(learn), marks_of(labels, label, learn), net, trained), "toxicity")
+    left = {r["label"]: r["count"] for r in answers.groupBy("label").count().collect()}
+    weights = {k: counts[k] / n for k, n in left.items()}
+    if len(left) == 2:
+        net.slope = temperature(answers, weights, net.bias, shift)
+    net.bias += net.slope * shift
+    return calibrate_thresholds(net, answers, weights, precision)
+
+
+def answered(docs: DataFrame, marks: DataFrame, net: Network, trained: list[tuple]) -> DataFrame:
+    """(label, lang, answer) of every labelled row of ``docs`` but those trained on, which are given by id and hash of id and text.
+
+    Texts are read where they lie: answers, and not texts, move to their labels."""
 
-
-def calibrate_thresholds(net: Network, langs: list, texts: list[np.ndarray], targets: np.ndarray, precision: float, least: int = 20) -> Network:
-    """Set a threshold for each language from rows that were not trained on."""
-    by: dict = {}
-    for lang, ids, label in zip(langs, texts, targets, strict=True):
-        by.setdefault(lang, []).append((1 / (1 + np.exp(-np.clip(logit(net, ids) / net.slope, -30, 30))), label))
-    for lang, pairs in by.items():
-        p, y = np.array([a for a, _ in pairs]), np.array([b for _, b in pairs])
-        if len(p) < least or not y.any():
-            continue
-        order = np.argsort(-p, kind="stable")
-        right = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
-        good = np.flatnonzero(right >= precision)
-        if len(good):
-            net.thresholds[lang] = float(p[order][good[-1]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_ids = WordIds(net.hashes)
+        for batch in batches:
+            found = pa.array([answer(net, to_ids(t)) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "at", "lang")), found], ["id", "at", "lang", "answer"])
+
+    learned = docs.sparkSession.createDataFrame(trained, "id long, at long")  # bounded by the sample
+    texts = texts_of(docs).withColumn("at", F.xxhash64("id", "text")).where(F.col("id").isNotNull())
+    answers = texts.mapInArrow(run, "id long, at long, lang string, answer double")
+    rows = answers.join(marks.select(F.col("doc_id").cast("long").alias("id"), "label"), "id")
+    return rows.join(F.broadcast(learned), ["id", "at"], "left_anti").select("label", "lang", "answer")
+
+
+def _weight(weights: dict) -> Column:
+    return F.when(F.col("label") == 1, F.lit(float(weights.get(1, 0)))).otherwise(F.lit(float(weights.get(0, 0))))
+
+
+def temperature(answers: DataFrame, weights: dict, bias: float, shift: float) -> float:
+    """The slope of least log loss over all ``answers``."""
+    slopes = np.geomspace(0.5, 4, 31).tolist()
+    sign = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    margins = [sign * ((F.col("answer") + bias) / s + shift) for s in slopes]
+    losses = [F.sum(_weight(weights) * (F.greatest(-m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m))))).alias(f"s{i}") for i, m in enumerate(margins)]
+    return float(slopes[int(np.argmin(list(answers.agg(*losses).first())))])
+
+
+def calibrate_thresholds(net: Network, answers: DataFrame, weights: dict, precision: float, least: int = 20, step: float = 1 / 64) -> Network:
+    """Set a threshold for each language from rows that were not trained on: all of them, counted by answer and summed from the highest down.
+
+    Answers are summed within bins of ``step``, and these over the bins of a language, 128,000 at most: its rows do not meet in one task."""
+    level = F.floor(F.least(F.greatest(F.col("answer") / net.slope, F.lit(-1e3)), F.lit(1e3)) / step)
+    points = answers.groupBy("lang", level.alias("level"), "answer").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = points.groupBy("lang", "level").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    levels = levels.select(
+        F.col("lang").alias("_lang"),
+        F.col("level").alias("_level"),
+        F.coalesce(F.sum("toxic").over(above), F.lit(0)).alias("_toxic"),
+        F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_n"),
+    )
+    inside = Window.partitionBy("lang", "level").orderBy(F.desc("answer")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = points.join(levels, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("level") == F.col("_level")))
+    right, all_ = F.col("_toxic") + F.sum("toxic").over(inside), F.col("_n") + F.sum("n").over(inside)
+    hits, misses = right * float(weights.get(1, 0)), (all_ - right) * float(weights.get(0, 0))
+    reached = summed.withColumn("good", (right > 0) & (hits >= precision * (hits + misses)))
+    found = reached.groupBy("lang").agg(F.min(F.when(F.col("good"), F.col("answer"))).alias("answer"), F.sum("n").alias("n"))
+    for r in found.collect():  # one row a language
+        if r["n"] >= least and r["answer"] is not None:
+            net.thresholds[r["lang"]] = float(probability(net, np.array([r["answer"] + net.bias]))[0])
     return net
 
 
@@ -215,7 +267,7 @@ def scoring(net: Network, columns: list[str]):
         to_ids = WordIds(net.hashes)
         for batch in batches:
             z = np.array([logit(net, to_ids(t)) for t in batch.column("text").to_pylist()], dtype=np.float64)
-            p = 1 / (1 + np.exp(-np.clip(z / net.slope, -30, 30)))
+            p = probability(net, z)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(p, pa.float64())], [*columns, "score"])
 
     return run

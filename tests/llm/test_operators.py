@@ -384,3 +384,31 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
         assert out.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
+
+def test_toxicity_thresholds_come_from_all_rows_not_trained_on(spark):
+    """Of 600 labelled rows 96 train the network; each language's threshold is the lowest score of the others with the wanted precision."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        toxic = int(rng.random() < 0.3)
+        bad = rng.choice(["vile", "scum"]) if rng.random() < (0.9 if toxic else 0.04) else "calm"
+        rows.append((i, " ".join([*rng.choice(["sun", "rain", "tree", "road", "lake"], 12), bad]), ["en", "de", None][i % 3], toxic))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").cache()
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int").cache()
+    sample, counts = quality.sampled(docs, labels, "toxic", F.lit(True), 60)
+    assert len(sample) == 120
+    net = toxicity.fit(docs, labels, fit_rows=60, precision=0.8)
+    order = np.random.default_rng(3).permutation(len(sample))
+    trained = {sample[i]["id"] for k, i in enumerate(order) if k % 5}
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, net).collect()}
+    others = [(lang, score[i], toxic) for i, _, lang, toxic in rows if i not in trained]
+    assert len(trained) == 96 and set(net.thresholds) == {"en", "de", None}
+    weight = {k: counts[k] / sum(1 for *_, toxic in others if toxic == k) for k in (0, 1)}
+    for lang, limit in net.thresholds.items():
+        mine = [(s, toxic) for where, s, toxic in others if where == lang]
+        good = []
+        for s, _ in mine:
+            hits, misses = (sum(weight[k] for p, toxic in mine if p >= s and toxic == k) for k in (1, 0))
+            if hits >= 0.8 * (hits + misses):
+                good.append(s)
+        assert limit == pytest.approx(min(good), abs=1e-12)
