@@ -236,3 +236,42 @@ def test_interval_join_query_writes_out_events_before_they_are_paired(spark):
     lines = plan.splitlines()
     top = next(i for i, line in enumerate(lines) if "Join Inner" in line)
     assert not any("date_format" in line for line in lines[:top]) and any("date_format" in line for line in lines[top:])
+
+
+def test_interval_join_lists_rows_once_and_intervals_a_few_times(spark):
+    """Lengths from nothing to a day, a third of the rows and intervals at one instant: what moves grows with the inputs alone, and no bin holds the crowd."""
+    start, crowd = F.lit("2020-02-01").cast("timestamp_ntz"), F.col("id") % 3 == 0
+    at = start + F.make_dt_interval(secs=F.when(crowd, 43200).otherwise((F.col("id") * 7919) % 86400))
+    rows = spark.range(6000).select(at.alias("time"), F.col("id").alias("row")).cache()
+    length = F.element_at(F.array(*[F.lit(n) for n in (0, 1, 20, 60, 300, 1800, 86400)]), (F.col("id") % 7 + 1).cast("int"))
+    at = start + F.make_dt_interval(secs=F.when(F.col("id") % 30 == 0, 43200).otherwise((F.col("id") * 6151) % 86400))
+    spans = spark.range(700).select("id", at.alias("start_ts"), (at + F.make_dt_interval(secs=length)).alias("end_ts")).cache()
+    plain = rows.toPandas().merge(spans.toPandas(), how="cross")
+    plain = plain[(plain.time >= plain.start_ts) & (plain.time <= plain.end_ts)]
+    assert sorted((r.row, r.id) for r in align.interval_join(rows, spans).collect()) == sorted(zip(plain.row, plain.id, strict=True))
+    a, b = align._binned(rows, spans, "time", "start_ts", "end_ts")
+    assert a.count() == 6000 and b.count() <= 5 * 700
+    assert a.groupBy("_bin").count().agg(F.max("count")).first()[0] < 1000  # the crowd: 2,000
+    assert a.join(b, ["_width", "_bin"]).count() < 1.6 * len(plain)
+
+
+def test_interval_join_of_few_instants(spark):
+    """Fewer instants than places of the sketch, intervals before and after all rows, rows that come twice, maps, and no rows."""
+    rows = spark.sql("""SELECT TIMESTAMP_NTZ'2020-01-02' + make_dt_interval(0, 0, 0, (id % 7) * 10) AS time, id % 40 AS row, map('k', id % 2) AS m FROM range(60)
+        UNION ALL SELECT CAST(NULL AS TIMESTAMP_NTZ), -1L, NULL""").cache()
+    spans = spark.sql("""SELECT id, TIMESTAMP_NTZ'2020-01-01 23:59:00' + make_dt_interval(0, 0, 0, id * 5) AS start_ts,
+        TIMESTAMP_NTZ'2020-01-01 23:59:00' + make_dt_interval(0, 0, 0, id * 5 + (id % 4) * 10) AS end_ts FROM range(40)""").cache()
+    plain = rows.drop("m").toPandas().merge(spans.toPandas(), how="cross")
+    plain = plain[(plain.time >= plain.start_ts) & (plain.time <= plain.end_ts)]
+    for few in (spans, spans.where("start_ts = end_ts"), spans.where("id = 39"), spans.limit(0)):
+        ids = {r.id for r in few.collect()}
+        wanted = sorted((r, i) for r, i in zip(plain.row, plain.id, strict=True) if i in ids)
+        assert sorted((r.row, r.id) for r in align.interval_join(rows, few).collect()) == wanted
+    assert len(plain) > 100 and align.interval_join(rows.limit(0), spans).count() == 0
+
+
+def test_interval_join_query_moves_no_text(spark):
+    """Text is made of an event after it has moved: no date is formatted below an exchange of rows."""
+    plan = QUERIES["interval_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, line in enumerate(plan) if "date_format" in line)
+    assert any("Repartition" in line for line in plan[made:]) and not any("Repartition" in line for line in plan[:made])
